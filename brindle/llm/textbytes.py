@@ -33,7 +33,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SYMBOL = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+_SYMBOLS = [mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(k)) for k in (0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7)]
 _powers: list[np.ndarray] = []
 
 
@@ -42,7 +42,10 @@ def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < size:
         size = max(size, PIECE + 1)
         inverse = pow(_BASE, -1, 1 << 64)
-        table = [np.cumprod(np.concatenate([[1], np.full(size - 1, b, np.uint64)]).astype(np.uint64)) for b in (_BASE, inverse)]
+        table = [np.full(size, b, np.uint64) for b in (_BASE, inverse)]
+        for x in table:
+            x[0] = 1
+            np.cumprod(x, out=x)
         if size > 8 * PIECE:  # one enormous word: not worth keeping
             return table[0], table[1]
         _powers[:] = table
@@ -89,8 +92,12 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes: a polynomial over random byte values, then mixed."""
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span's bytes: a polynomial over random byte values, then mixed.
+
+    Spans are in order and don't overlap.  The two families are independent of each other.
+    """
+    symbols = _SYMBOLS[family]
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -99,7 +106,7 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         piece = buf[at : ends[j - 1]]
         power, inverse = _power_tables(len(piece) + 1)
         total = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(_SYMBOL[piece] * power[: len(piece)], out=total[1:])
+        np.cumsum(symbols[piece] * power[: len(piece)], out=total[1:])
         a, b = starts[i:j] - at, ends[i:j] - at
         out[i:j] = (total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
         i = j
