@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .vectors import clean, search
 
-LEAF = 32
+LEAF = 64
 
 
 def chi_square(x: np.ndarray, m: int) -> np.ndarray:
@@ -84,7 +84,7 @@ def _verify(q: np.ndarray, going: np.ndarray, leaves: np.ndarray, members: np.nd
     return out.reshape(len(going), -1)
 
 
-def local_nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, m: int, sure: float, largest: float, seed: int, at_once: int = 512, step: int = 4):
+def local_nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, m: int, sure: float, largest: float, seed: int, at_once: int = 512):
     distinct, which = np.unique(vectors, axis=0, return_inverse=True)
     which = which.ravel()
     order = np.lexsort((ids, which))
@@ -105,7 +105,7 @@ def local_nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, v
         top = np.full((len(q), near), -np.inf)
         who = np.full((len(q), near), -1)
         square = in_order(q, q)
-        going, place = np.arange(len(q)), 0
+        going, place, step = np.arange(len(q)), 0, 2
         while len(going) and place < turn.shape[1]:
             leaves = turn[going, place : place + step]
             members = tree.members[leaves].reshape(len(going), -1)
@@ -114,7 +114,7 @@ def local_nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, v
             both, names = np.concatenate([top[going], found], 1), np.concatenate([who[going], members], 1)
             best = np.argpartition(-both, near - 1, axis=1)[:, :near]
             top[going], who[going] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
-            place += step
+            place, step = place + step, min(2 * step, 32)  # ever more leaves at a time
             if place >= turn.shape[1]:
                 break
             kth_best = np.partition(top[going], near - k, axis=1)[:, near - k]
@@ -139,7 +139,7 @@ def local_nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, v
     return tuple(np.concatenate(x) for x in out)
 
 
-def nearest(frame: DataFrame, key: str = "vec_id", vector: str = "embedding", queries_every: int = 20, k: int = 20, m: int = 10, sure: float = 0.98, seed: int = 7, candidate_block: int = 16384, query_block: int = 1024) -> DataFrame:
+def nearest(frame: DataFrame, key: str = "vec_id", vector: str = "embedding", queries_every: int = 20, k: int = 20, m: int = 16, sure: float = 0.9, seed: int = 7, candidate_block: int = 16384, query_block: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found among all rows but the query's own."""
     vectors = clean(frame, key, vector)
     vectors = vectors.filter(F.exists("v", lambda x: x != 0))

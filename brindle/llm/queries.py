@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, linededup, mixing, urls
+from . import ann, bpe, licenses, linededup, mixing, pii, quality, topk, urls
 from .shared import table
 
 
@@ -82,15 +82,60 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+#: Scores from here on count as label 1.
+THRESHOLD = 0.3
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, carry=["doc_id"]).select("row.doc_id", "score")
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.protect(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id",
+        F.size("spans").cast("bigint").alias("n_found"),
+        *(count(k).alias(f"n_{k}") for k in (*pii.KINDS, "secret")),
+        F.array_join(F.array_sort(F.array_distinct("spans.kind")), ",").alias("kinds"),
+        F.col("clean").alias("text"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_licenses": op3_licenses,
+    "op4_topk": op4_topk,
     "op5_linededup": op5_linededup,
     "op6_mixing": op6_mixing,
     "op7_urls": op7_urls,
+    "op8_quality": op8_quality,
+    "op9_ann": op9_ann,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_topk": OP4_SQL,
     "op5_linededup": OP5_SQL,
     "op6_mixing": OP6_SQL,
     "op7_urls": urls.judge_sql(),

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 def clean(frame: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, v) with v an array of doubles."""
-    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = frame.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull())
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.filter(good & (F.size("v") > 0)).groupBy("id").agg(F.min("v").alias("v"))
