@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, licenses, linededup, mixing, pii, quality, topk, urls
+from . import ann, bpe, licenses, linededup, mixing, ngramjoin, pii, quality, topk, urls
 from .shared import table
 
 
@@ -18,6 +18,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), round_trip=True)
     return coded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -123,6 +127,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngramjoin": op1_ngramjoin,
     "op2_bpe": op2_bpe,
     "op3_licenses": op3_licenses,
     "op4_topk": op4_topk,

@@ -125,7 +125,8 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, n: int = 5) -> list[np.ndarray]:
-    """For each row the sorted distinct hashes of its n-word shingles; a shorter row's whole sequence is one."""
+    """For each row the sorted distinct hashes of its n-word shingles, A-Z as a-z; a shorter row's whole sequence is one."""
+    buf = LOWER[buf]
     starts, ends, first = word_spans(buf, offsets)
     words = word_hashes(buf, starts, ends)
     grams = gram_hashes(words, n)
