@@ -158,7 +158,7 @@ def hybrid_search(signals: DataFrame, queries: DataFrame, settings: Search = Sea
     """(qid, rank, score, signal columns): candidates by the index, rescored with the structural score, best first.
 
     candidate_mode "pre" filters before the candidates are cut to candidate_factor * limit, "post" after, which can
-    leave too few.  resort=False keeps the index's order, as the reference order does.  Equal results (five-part key) show once.
+    leave too few.  resort=False keeps the index's order.  Equal results (five-part key) show once.
     """
     rows = signals.filter(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
     index = index or build_index(rows, key)
