@@ -154,15 +154,15 @@ def post_filter(rows: DataFrame, kind: str | None = None, framework: str | None
     return rows
 
 
-def hybrid_search(signals: DataFrame, queries: DataFrame, settings: Search = Search(), kind: str | None = None, framework: str | None = None, file: str | None = None, candidate_mode: str = "pre", resort: bool = True, index: Index | None = None, key: str = "id") -> DataFrame:
+def hybrid_search(signals: DataFrame, queries: DataFrame, settings: Search = Search(), kind: str | None = None, framework: str | None = None, file: str | None = None, candidate_mode: str = "pre", resort: bool = True, index: Index | None = None, key: str = "id", prefix: bool = True, fuzzy: bool = True, weights: Bm25 = Bm25()) -> DataFrame:
     """(qid, rank, score, signal columns): candidates by the index, rescored with the structural score, best first.
 
     candidate_mode "pre" filters before the candidates are cut to candidate_factor * limit, "post" after, which can
     leave too few.  resort=False keeps the index's order.  Equal results (five-part key) show once.
     """
     rows = signals.filter(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
-    index = index or build_index(rows, key)
-    scored = bm25(index, queries)
+    index = index or build_index(rows, key, weights)
+    scored = bm25(index, queries, prefix, fuzzy, weights)
     if candidate_mode == "pre" and (kind or framework or file):
         scored = scored.join(post_filter(rows, kind, framework, file).select(F.col(key).alias("id")), "id", "left_semi")
     best = top(scored, settings.candidate_factor * settings.limit).select("qid", F.col("id").alias("_id"), E.decimals(F.col("score")).alias("bm25"), F.col("rank").alias("bm25_rank"))

@@ -704,6 +704,19 @@ def search_slice(spark, sf):
 _HYBRID = f"""WITH {_BM25.replace("('q1', 'red'), ('q1', 'bolt'), ('q2', 'small'), ('q2', 'ring'), ('q2', 'route')", "('q', 'get'), ('q', 'red'), ('q', 'route')").replace("{match}", _EXACT)}"""
 
 
+_HYBRID += f""", tc AS (SELECT id, floor(score * 100 + 0.5) / 100 AS b, row_number() OVER (ORDER BY score DESC, id) AS br FROM sc QUALIFY br <= 24),
+{_STRUCT}, co AS (SELECT tc.id, br, floor((0.7::DOUBLE * b + 0.3::DOUBLE * st.score) * 100 + 0.5) / 100 AS s FROM tc JOIN st USING (id)),
+no AS (SELECT id, br, floor(s / greatest(max(s) OVER (), 0.001) * 100 + 0.5) / 100 AS score FROM co),
+on_ AS (SELECT no.*, row_number() OVER (PARTITION BY s.kind, s.file, s.name, s.line_start, s.text ORDER BY score DESC, br) AS rn FROM no JOIN sig s USING (id) WHERE score >= 0.05)
+SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, br) AS INT) AS rank FROM on_ WHERE rn = 1 QUALIFY rank <= 8"""
+
+
+@query("hybrid_exact", _HYBRID.replace("floor(sum(s) * count(DISTINCT qterm) * 1000 + 0.5) / 1000 AS score", "sum(s) * count(DISTINCT qterm) AS score"))
+def _(spark, sf):
+    found = retrieval.hybrid_search(sig(spark, sf), asked(spark, (("q", "get red route"),)), Search(), prefix=False, fuzzy=False, weights=_SMALL)
+    return found.select("id", "score", "rank")
+
+
 @query("hybrid_search")
 def hybrid_query(spark, sf):
     return retrieval.hybrid_search(sig(spark, sf), asked(spark, (("q1", "red bolt route"), ("q2", "small ring class"))), Search()).select("qid", "rank", "score", "id", "kind", "name")
