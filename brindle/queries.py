@@ -815,12 +815,34 @@ def as_files(spark, sf) -> DataFrame:
     return sig(spark, sf).select(F.col("file").alias("path"), F.concat_ws("\n", "text", F.concat(F.lit("class "), "name")).alias("content"), F.col("key").alias("ordinal"))
 
 
-@query("agent_baseline")
+_FILES = f"""{_GT}, fi AS (SELECT file AS path, string_split(file, '/')[-1] AS base, concat(text, chr(10), 'class ', name) AS content, key AS ordinal FROM sig), li AS (SELECT *, length(content) AS chars, lower(content) AS low FROM fi)"""
+_AGENT = f"""WITH {_FILES}, a AS (SELECT *, {_TERMS} AS terms, array_to_string(string_split(lower(query), ' ')[1:2], ' ') AS head FROM gt),
+p AS (SELECT a.id, kind, handler, want, li.*, row_number() OVER (PARTITION BY a.id ORDER BY len(list_filter(terms, lambda x: contains(base, x))) + CAST(contains(base, 'route') OR contains(base, 'handler') AS INT) DESC, ordinal) AS rank
+  FROM a JOIN li ON (want IS NULL OR contains(path, want)) AND (len(list_filter(terms, lambda x: contains(base, x) OR contains(path, x))) > 0 OR (len(terms) > 0 AND contains(base, head)))),
+t AS (SELECT id, max(rank) AS n, max(CASE WHEN rank = 1 THEN chars END) AS c1, coalesce(max(CASE WHEN rank = 2 THEN chars END), 0) AS c2, sum(chars) AS c3,
+  bool_or(rank = 1 AND (handler IS NULL OR CASE kind WHEN 'route' THEN contains(low, lower(handler)) ELSE contains(low, 'class ' || lower(handler)) OR contains(low, 'interface ' || lower(handler)) END)) AS ok FROM p WHERE rank <= 3 GROUP BY id),
+lost AS (SELECT sum(chars) AS lost FROM (SELECT chars FROM li ORDER BY ordinal LIMIT 5)),
+r AS (SELECT gt.id, n, CASE WHEN n IS NULL THEN 0 WHEN ok THEN 3 ELSE 2 END AS correctness, CASE WHEN n IS NULL THEN lost WHEN ok THEN 2 * c1 ELSE c1 + c2 END AS chars, CASE WHEN n IS NULL THEN 5 WHEN ok THEN 1 ELSE least(n, 2) - 1 END AS full_reads FROM gt LEFT JOIN t USING (id), lost)
+SELECT id, 1 AS tool_calls, CAST(full_reads AS BIGINT) AS full_reads, CAST(n IS NOT NULL AS INT) AS targeted_reads, CAST(chars AS BIGINT) AS chars_read, CAST(floor(chars / 4 + 0.5) AS BIGINT) AS tokens, correctness FROM r"""
+
+
+@query("agent_baseline", _AGENT)
 def _(spark, sf):
     return evaluate.agent_baseline(ground_truth(spark, sf), as_files(spark, sf))
 
 
-@query("real_baseline")
+_REAL = f"""WITH {_FILES}, a AS (SELECT *, {_TERMS.replace(_STOP, ", ".join(f"'{w}'" for w in rules.STOP_WORDS_SHORT))} AS terms, array_to_string(string_split(lower(query), ' ')[1:3], ' ') AS head, list_filter(string_split(lower(query), ' '), lambda w: length(w) > 3) AS words FROM gt),
+p AS (SELECT a.*, li.path, base, content, ordinal, chars, low FROM a, li),
+f1 AS (SELECT id, chars AS c1, (want IS NULL OR contains(path, want)) AND (handler IS NULL OR CASE kind WHEN 'route' THEN contains(low, lower(handler)) ELSE contains(low, 'class ' || lower(handler)) END) AND len(list_filter(words, lambda w: contains(low, w))) >= greatest(1, floor(len(words) * 0.5)) AS m
+  FROM p WHERE len(list_filter(terms, lambda x: contains(base, x) OR contains(path, x))) > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY ordinal) = 1),
+f5 AS (SELECT id, sum(chars) AS c5, count(*) AS n5, count(*) FILTER (WHERE contains(low, head)) AS t5 FROM p WHERE ordinal < 5 GROUP BY id),
+r AS (SELECT gt.*, c1, coalesce(m, false) AS m, c5, n5, t5, c1 IS NOT NULL AS got FROM gt LEFT JOIN f1 USING (id) JOIN f5 USING (id)),
+z AS (SELECT *, coalesce(c1, 0) + CASE WHEN m THEN 2 * c1 ELSE 0 END + c5 AS chars, least(3.0::DOUBLE, 1.5 + CASE WHEN want IS NOT NULL THEN 0.5 ELSE 0 END + CASE WHEN kind = 'route' THEN 1.0 ELSE 0 END) AS grade FROM r)
+SELECT id, CAST(1 + CAST(got AS INT) + n5 AS BIGINT) AS tool_calls, CAST(CAST(m AS INT) + CASE WHEN got THEN t5 ELSE 0 END AS BIGINT) AS full_reads, CAST(CAST(got AS INT) + t5 AS BIGINT) AS targeted_reads,
+  CAST(chars AS BIGINT) AS chars_read, CAST(floor(chars / 4 + 0.5) AS BIGINT) AS tokens, CAST(CASE WHEN got THEN grade ELSE 0 END AS DOUBLE) AS correctness FROM z"""
+
+
+@query("real_baseline", _REAL)
 def _(spark, sf):
     return evaluate.real_baseline(ground_truth(spark, sf), as_files(spark, sf))
 
