@@ -6,11 +6,13 @@ points' coordinate minima, and the maxima of an R-tree node's points bound all p
 
 1. A sketch of fixed size counts all shingles of all documents; rarer classes come first in the order of shingles.
 2. A pair with similarity s or more shares one of the first n - ceil(s n) + 1 shingles of both sets in that order, so
-   documents are dealt out by those shingles.  Every group of documents with a shingle in common is joined with itself by
+   documents are dealt out by those shingles; first 4 bytes of each, to find out which are shared at all, then points and
+   sizes for the shared ones.  Every group of documents with a shingle in common is joined with itself by
    an R-tree on (points, sizes), nodes against nodes; node pairs go whose bound is too low for their sizes, and
    node pairs that lie in one known component.  A shingle with more than `hot` documents is dealt out as pairs of
    blocks, so no task gets an unbounded group.
-3. Surviving pairs are verified on the whole sets, which are read again from the texts for those documents alone.
+3. Surviving pairs are bound once more by finer points (about n/4 groups), and those that are left are verified on the
+   whole sets, which are read again from the texts for those documents alone.
 4. Rounds: the first deals out three shingles a document and tries few partners, which finds nearly all components.  The
    following ones deal out all shingles and look only for links between different components: a document
    tries its `tries` best-bounded partners a shingle, and while any had more than that, another round follows
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +40,9 @@ from .components import components
 from .shared import checkpointed, shuffle_partitions
 from .textbytes import chunks, column_buffer, mix64, shingle_sets
 
-GROUPS = 16
-#: The sketch's cells: 2**20, whatever the input.
-SKETCH_BITS = 20
+GROUPS = 64
+#: The sketch's cells: 2**19, whatever the input.
+SKETCH_BITS = 19
 _BLOCK = 1 << 14
 LEAF = 32
 FAN = 32
@@ -64,6 +67,11 @@ def _texts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Recor
             yield batch.slice(i, j - i), shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
 
 
+def fine_bits(n: int) -> int:
+    """Finer points have 2**bits coordinates: about n/4, GROUPS at least."""
+    return max(6, min(20, (max(n, 1) // 4).bit_length()))
+
+
 def _set_hash(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -95,78 +103,201 @@ def rarity(docs: DataFrame, text: str, n: int) -> np.ndarray:
     return np.where(cells <= common, 0, 1 + np.floor(np.log2(np.maximum(cells, 1) / common))).astype(np.uint8)
 
 
-def _document_table(docs: DataFrame, key: str, text: str, n: int, percent: int, classes) -> DataFrame:
-    """(doc, node, n_shingles, points, prefix): node is the set's hash, prefix its first shingles in order."""
+_BATCH = "batch bigint, docs binary, valid binary, nodes binary, sizes binary, deals binary, width int, points binary, fine binary, prefix binary"
+
+
+def _batches(docs: DataFrame, key: str, text: str, n: int, percent: int, classes) -> DataFrame:
+    """Documents as rows of columns: doc ids, whether they are there, nodes (the sets' hashes), sizes, and, of those that
+    are dealt out (not empty, and no copy of one before them in the task), points and the first shingles in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = classes.value
+        order, seen = classes.value, set()
+        at = TaskContext.get().partitionId() << 32
         for part, sets in _texts(batches, n):
-            nodes, points, prefixes = [], [], []
-            for s in sets:
-                if not len(s):
-                    nodes.append(None), points.append(None), prefixes.append(None)
+            size = np.array([len(s) for s in sets], np.uint32)
+            nodes = np.array([_set_hash(s) if len(s) else 0 for s in sets], np.int64)
+            deals = np.zeros(len(sets), bool)
+            points, fines, prefixes = [], [], []
+            for i, s in enumerate(sets):
+                if not len(s) or int(nodes[i]) in seen:
                     continue
-                nodes.append(_set_hash(s))
-                points.append(np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes())
+                seen.add(int(nodes[i]))
+                deals[i] = True
+                bits = fine_bits(len(s))
+                fine = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                points.append(fine.reshape(GROUPS, -1).sum(1))
+                fines.append(np.minimum(fine, 255).astype(np.uint8))
                 place = order[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                size = prefix_size(len(s), percent)
-                first = s[:size] if not place.any() else s[np.argsort(place, kind="stable")[:size]]
-                prefixes.append(first.tobytes())
+                take = prefix_size(len(s), percent)
+                prefixes.append(s[:take] if not place.any() else s[np.argsort(place, kind="stable")[:take]])
+            flat = np.concatenate([np.zeros(0, np.int64), *points])
+            width = 1 if not len(flat) or flat.max() < 256 else 2 if flat.max() < 65536 else 4
+            ids = part.column(0)
+            values = [
+                np.ascontiguousarray(ids.fill_null(0).to_numpy(zero_copy_only=False)).tobytes(),
+                np.ascontiguousarray(ids.is_valid().to_numpy(zero_copy_only=False)).tobytes(),
+                nodes.tobytes(),
+                size.tobytes(),
+                deals.tobytes(),
+                width,
+                flat.astype(f"<u{width}").tobytes(),
+                np.concatenate([np.zeros(0, np.uint8), *fines]).tobytes(),
+                np.concatenate([np.zeros(0, np.uint64), *prefixes]).tobytes(),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *(pa.array([v], pa.int32() if isinstance(v, int) else pa.binary()) for v in values)], names=names)
+            at += 1
+
+    names = [c.split()[0] for c in _BATCH.split(", ")]
+    return docs.select(docs[key].cast("bigint").alias("doc"), docs[text].alias("text")).mapInArrow(run, _BATCH)
+
+
+class Batch:
+    """One row of the batch table."""
+
+    def __init__(self, row: dict, percent: int):
+        self.id = row["batch"]
+        self.docs, self.nodes = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["nodes"], np.int64)
+        self.valid, self.deals = np.frombuffer(row["valid"], bool), np.frombuffer(row["deals"], bool)
+        self.sizes = np.frombuffer(row["sizes"], np.uint32)
+        self.points = np.frombuffer(row["points"], f"<u{row['width']}").reshape(-1, GROUPS)
+        self.keys = np.frombuffer(row["prefix"], np.uint64)
+        self.rows = np.flatnonzero(self.deals)
+        n = self.sizes[self.rows].astype(np.int64)
+        self.counts = n - -(-percent * n // 100) + 1
+        self.owner = np.repeat(np.arange(len(self.rows)), self.counts)  # which of the dealt rows each key is of
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _spread(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Part and 4 bytes of each key, and the order by part."""
+    mixed = mix64(keys)
+    part = ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+    return part, mixed.astype(np.uint32), np.argsort(part, kind="stable")
+
+
+def _members(table: DataFrame, percent: int) -> DataFrame:
+    """(doc, node, n_shingles, batch, place) of every document; the node of an empty set is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            b = Batch(row, percent)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(points, pa.binary()), pa.array(prefixes, pa.binary())],
-                names=["doc", "node", "n_shingles", "points", "prefix"],
+                [
+                    pa.array(b.docs, pa.int64(), mask=~b.valid),
+                    pa.array(b.nodes, pa.int64(), mask=b.sizes == 0),
+                    pa.array(b.sizes.astype(np.int64)),
+                    pa.array(np.full(len(b.docs), b.id)),
+                    pa.array(np.arange(len(b.docs), dtype=np.int32)),
+                ],
+                names=["doc", "node", "n_shingles", "batch", "place"],
             )
 
-    return docs.select(docs[key].cast("bigint").alias("doc"), docs[text].alias("text")).mapInArrow(run, "doc bigint, node bigint, n_shingles bigint, points binary, prefix binary")
+    return table.mapInArrow(run, "doc bigint, node bigint, n_shingles bigint, batch bigint, place int")
+
 
+def _shared(table: DataFrame, percent: int, parts: int) -> DataFrame:
+    """(batch, marks): for each batch and part the bits of the keys that are dealt out more than once."""
 
-_RECORD = [("key", "<u8"), ("node", "<i8"), ("comp", "<i8"), ("n", "<u4")]
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            b = Batch(row, percent)
+            if not len(b.keys):
+                continue
+            part, short, order = _spread(b.keys, parts)
+            part, short = part[order], short[order]
+            cuts = np.flatnonzero(np.diff(part, prepend=-1))
+            blobs = [short[i:j].tobytes() for i, j in zip(cuts, [*cuts[1:], len(part)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(np.full(len(cuts), b.id)), pa.array(blobs, pa.binary())], names=["part", "batch", "keys"])
+
+    def find(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, blobs = [], []
+        for batch in batches:
+            ids += batch.column(1).to_pylist()
+            blobs += batch.column(2).to_pylist()
+        short = np.frombuffer(b"".join(blobs), np.uint32)
+        order = np.argsort(short, kind="stable")
+        again = short[order][1:] == short[order][:-1]
+        twice = np.zeros(len(short), bool)
+        twice[order[1:][again]] = True
+        twice[order[:-1][again]] = True
+        ends = np.cumsum([len(x) // 4 for x in blobs])
+        bits = [np.packbits(x).tobytes() for x in np.split(twice, ends[:-1])]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([key[0].as_py()] * len(ids), pa.int32()), pa.array(bits, pa.binary())], names=["batch", "part", "bits"])
 
+    dealt = table.mapInArrow(deal, "part int, batch bigint, keys binary")
+    found = dealt.groupBy("part").applyInArrow(find, "batch bigint, part int, bits binary")
+    return found.groupBy("batch").agg(F.collect_list(F.struct("part", "bits")).alias("marks"))
 
-def _deal(parts: int, first: int | None, hot: int, seen_counts):
-    """Rows (part, rows of shingles as bytes) of a batch's documents; hot shingles go out as pairs of blocks."""
+
+_DEALT = "batch bigint, places binary, nodes binary, sizes binary, counts binary, width int, points binary, keys binary"
+
+
+def _chosen(first: int | None, percent: int, parts: int):
+    """Batches cut down to the keys that go out: a document's first ones, or those that the batch's marks call shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks_of = seen_counts.value
-        seen: set[int] = set()
-        for whole in batches:
-            for start in range(0, whole.num_rows, 4000):
-                batch = whole.slice(start, 4000)
-                node, comp, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
-                rows, keys = [], []
-                for i, x in enumerate(node.tolist()):
-                    if x in seen:  # an exact copy in this task: the same node
-                        continue
-                    seen.add(x)
-                    rows.append(i)
-                    keys.append(np.frombuffer(batch.column(4)[i].as_py(), np.uint64)[:first])
-                if not rows:
-                    continue
-                place = np.repeat(np.array(rows), [len(k) for k in keys])
-                key = np.concatenate(keys)
-                points = np.frombuffer(b"".join(batch.column(3)[i].as_py() for i in rows), "<u4").reshape(-1, GROUPS)
-                spread = np.zeros(batch.num_rows, np.int64)
-                spread[rows] = np.arange(len(rows))
-                n_blocks = blocks_of[(key >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
-                if (large := np.flatnonzero(n_blocks > 1)).size:
-                    times = n_blocks[large]
-                    own = (mix64(node[place[large]].view(np.uint64)) % times.astype(np.uint64)).astype(np.int64)
-                    at = np.repeat(np.arange(len(large)), times)
-                    other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-                    pair = np.minimum(own[at], other) * (1 << 20) + np.maximum(own[at], other)
-                    rest = np.flatnonzero(n_blocks == 1)
-                    key = np.concatenate([key[rest], mix64(key[large][at] + pair.astype(np.uint64) + np.uint64(1))])
-                    place = np.concatenate([place[rest], place[large][at]])
-                part = (mix64(key) % np.uint64(parts)).astype(np.int32)
-                order = np.argsort(part, kind="stable")
-                part, key, place = part[order], key[order], place[order]
-                record = np.zeros(len(key), [*_RECORD, ("points", "<u1" if points.max() < 256 else "<u2" if points.max() < 65536 else "<u4", GROUPS)])
-                record["key"], record["node"], record["comp"], record["n"] = key, node[place], comp[place], size[place]
-                record["points"] = points[spread[place]]
-                width = record["points"].dtype.itemsize
-                cuts = np.flatnonzero(np.diff(part, prepend=-1))
-                blobs = [record[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(np.full(len(cuts), width, np.int32)), pa.array(blobs, pa.binary())], names=["part", "width", "rows"])
+        for row in _rows(batches):
+            b = Batch(row, percent)
+            if first is not None:
+                some = np.flatnonzero(np.arange(len(b.keys)) - np.repeat(np.cumsum(b.counts) - b.counts, b.counts) < first)
+            else:
+                part, _, order = _spread(b.keys, parts)
+                sizes = np.bincount(part, minlength=parts)
+                bits = {x["part"]: np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=int(sizes[x["part"]])) for x in row["marks"] or []}
+                flags = np.concatenate([np.zeros(0, np.uint8), *(bits.get(p, np.zeros(int(sizes[p]), np.uint8)) for p in np.flatnonzero(sizes).tolist())])
+                some = np.sort(order[flags.astype(bool)])
+            counts = np.bincount(b.owner[some], minlength=len(b.rows)).astype(np.uint32)
+            kept = counts > 0
+            if not kept.any():
+                continue
+            rows = b.rows[kept]
+            values = [rows.astype(np.int32), b.nodes[rows], b.sizes[rows], counts[kept], int(b.points.dtype.itemsize), b.points[kept], b.keys[some]]
+            yield pa.RecordBatch.from_arrays([pa.array([b.id], pa.int64()), *(pa.array([v if isinstance(v, int) else v.tobytes()], pa.int32() if isinstance(v, int) else pa.binary()) for v in values)], names=names)
+
+    names = [c.split()[0] for c in _DEALT.split(", ")]
+    return run
+
+
+_RECORD = [("key", "<u4"), ("node", "<i8"), ("comp", "<i8"), ("n", "<u4")]
+
+
+def _deal(parts: int, block_counts):
+    """Rows (part, width, records) of a batch's documents; hot shingles go out as pairs of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks_of = block_counts.value
+        for row in _rows(batches):
+            key, nodes, sizes = np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["sizes"], np.uint32)
+            owner = np.repeat(np.arange(len(nodes)), np.frombuffer(row["counts"], np.uint32))
+            width = row["width"]
+            points = np.frombuffer(row["points"], f"<u{width}").reshape(-1, GROUPS)
+            comp = nodes.copy()
+            if known := row.get("known"):
+                label = {x["place"]: x["comp"] for x in known}
+                comp = np.array([label.get(x, y) for x, y in zip(np.frombuffer(row["places"], np.int32).tolist(), nodes.tolist(), strict=True)], np.int64)
+            n_blocks = blocks_of[(key >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
+            if (large := np.flatnonzero(n_blocks > 1)).size:
+                times = n_blocks[large]
+                own = (mix64(nodes[owner[large]].view(np.uint64)) % times.astype(np.uint64)).astype(np.int64)
+                at = np.repeat(np.arange(len(large)), times)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                pair = np.minimum(own[at], other) * (1 << 20) + np.maximum(own[at], other)
+                rest = np.flatnonzero(n_blocks == 1)
+                key = np.concatenate([key[rest], mix64(key[large][at] + pair.astype(np.uint64) + np.uint64(1))])
+                owner = np.concatenate([owner[rest], owner[large][at]])
+            part, short, order = _spread(key, parts)
+            part, short, owner = part[order], short[order], owner[order]
+            record = np.zeros(len(part), [*_RECORD, ("points", f"<u{width}", GROUPS)])
+            record["key"], record["node"], record["comp"], record["n"] = short, nodes[owner], comp[owner], sizes[owner]
+            record["points"] = points[owner]
+            cuts = np.flatnonzero(np.diff(part, prepend=-1))
+            blobs = [record[i:j].tobytes() for i, j in zip(cuts, [*cuts[1:], len(part)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(np.full(len(cuts), width, np.int32)), pa.array(blobs, pa.binary())], names=["part", "width", "records"])
 
     return run
 
@@ -279,7 +410,7 @@ def group_candidates(record: np.ndarray, percent: int, limit: int, small: int =
     key, node, comp, size = (record[c] for c in ("key", "node", "comp", "n"))
     size = size.astype(np.int64)
     points = record["points"]
-    starts = np.flatnonzero(np.diff(key, prepend=key[0] + np.uint64(1)))
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     counts = np.diff(np.append(starts, len(key)))
     run = np.repeat(np.arange(len(starts)), counts)
     # How many members of a run are of the same component: the smaller side tries.
@@ -332,7 +463,7 @@ def group_candidates(record: np.ndarray, percent: int, limit: int, small: int =
     return pairs[:, 0], pairs[:, 1], store.cut
 
 
-def _candidates(rows: DataFrame, first: int | None, percent: int, limit: int, hot: int, blocks, parts: int) -> DataFrame:
+def _candidates(rows: DataFrame, percent: int, limit: int, blocks, parts: int) -> DataFrame:
     """(a, b, cut): distinct pairs of nodes to verify."""
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,8 +471,7 @@ def _candidates(rows: DataFrame, first: int | None, percent: int, limit: int, ho
         current = None
 
         def flush():
-            kind = max(held, default=1)
-            full = [*_RECORD, ("points", f"<u{kind}", GROUPS)]
+            full = [*_RECORD, ("points", f"<u{max(held)}", GROUPS)]
             record = np.concatenate([np.frombuffer(x, [*_RECORD, ("points", f"<u{w}", GROUPS)]).astype(full) for w, xs in held.items() for x in xs])
             held.clear()
             a, b, cut = group_candidates(record, percent, limit)
@@ -352,15 +482,46 @@ def _candidates(rows: DataFrame, first: int | None, percent: int, limit: int, ho
                 if part != current and held:
                     yield flush()
                 current = part
-                held.setdefault(width // 1, []).append(blob)
+                held.setdefault(width, []).append(blob)
         if held:
             yield flush()
 
-    dealt = rows.select("node", "comp", "n_shingles", "points", "prefix").mapInArrow(_deal(parts, first, hot, blocks), "part int, width int, rows binary")
+    dealt = rows.mapInArrow(_deal(parts, blocks), "part int, width int, records binary")
     found = dealt.repartition(shuffle_partitions(rows.sparkSession), "part").sortWithinPartitions("part").mapInArrow(group, "a bigint, b bigint, cut boolean")
     return found.groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
+def _bounded(table: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the finer points allow."""
+
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            b = Batch(row, percent)
+            ends = np.cumsum([1 << fine_bits(int(n)) for n in b.sizes[b.rows]])
+            fine = [row["fine"][i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(b.nodes[b.rows]), pa.array(b.sizes[b.rows].astype(np.int64)), pa.array(fine, pa.binary())], names=["node", "size", "fine"])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, x, m, y in zip(*(batch.column(i) for i in (2, 3, 4, 5)), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8).astype(np.int64), np.frombuffer(y.as_buffer(), np.uint8).astype(np.int64)
+                if x.max() == 255 or y.max() == 255:  # cut off: no bound
+                    keep.append(True)
+                    continue
+                size = min(len(x), len(y))
+                common = int(np.minimum(x.reshape(size, -1).sum(1), y.reshape(size, -1).sum(1)).sum())
+                total = n.as_py() + m.as_py()
+                keep.append(common >= -(-percent * total // (100 + percent)))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    known = table.select("batch", "docs", "valid", "nodes", "sizes", "deals", "width", "points", "fine", "prefix").mapInArrow(points, "node bigint, size bigint, fine binary")
+    known = known.groupBy("node").agg(F.first("size").alias("size"), F.first("fine").alias("fine"))
+    x, y = (known.select(F.col("node").alias(c), F.col("size").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}")) for c in "ab")
+    both = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "n_a", "fine_a", "n_b", "fine_b")
+    return both.mapInArrow(test, "a bigint, b bigint")
+
+
 def _verified(docs: DataFrame, text: str, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).select(F.pmod("node", F.lit(_WORDS)).cast("int").alias("word"), F.pmod(F.shiftright("node", 18), F.lit(64)).cast("int").alias("bit"))
@@ -401,35 +562,38 @@ def _verified(docs: DataFrame, text: str, pairs: DataFrame, n: int, percent: int
 
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, tries: int = 8, hot: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """Checkpointed documents (doc, node, n_shingles, points, prefix) and links (a, b) between nodes.
+    """Checkpointed documents (doc, node, n_shingles, ...) and links (a, b) between nodes.
 
     A node is a set; the links connect all sets that a path of similar pairs connects.
     """
     spark: SparkSession = docs.sparkSession
     classes = rarity(docs, text, n)
     context = spark.sparkContext
+    table = checkpointed(_batches(docs, key, text, n, percent, context.broadcast(classes)))
+    members = checkpointed(_members(table, percent))
+    total, words = members.agg(F.count("node"), F.sum("n_shingles")).first()
     # A class's counts are known to a factor of two: hot shingles' blocks follow from them.
-    table = checkpointed(_document_table(docs, key, text, n, percent, context.broadcast(classes)))
-    filled = table.filter("node is not null")
-    total, words = table.agg(F.count("node"), F.sum("n_shingles")).first()
     common = 4 * (words or 0) / (1 << SKETCH_BITS) + 16
     most = np.where(classes == 0, common, common * 2.0 ** classes.astype(float))
     blocks = context.broadcast(np.clip(np.ceil(np.minimum(most, total) / hot), 1, 1 << 19).astype(np.int32))
     parts = max(4 * shuffle_partitions(spark), int((words or 0) * (100 - percent) // 100 // 100_000))
 
-    rows = filled.withColumn("comp", F.col("node"))
-    pairs = checkpointed(_candidates(rows, 3, percent, 2, hot, blocks, parts))
-    edges = checkpointed(_verified(docs, text, pairs, n, percent))
-    one = filled.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n_shingles", "points", "prefix")))
+    def linked(candidates: DataFrame) -> DataFrame:
+        return checkpointed(_verified(docs, text, checkpointed(_bounded(table, candidates, percent)), n, percent))
+
+    few = checkpointed(_candidates(table.mapInArrow(_chosen(3, percent, parts), _DEALT), percent, 2, blocks, parts))
+    edges = linked(few)
+    shared = table.join(_shared(table, percent, parts), "batch").mapInArrow(_chosen(None, percent, parts), _DEALT)
+    shared = checkpointed(shared)
     while True:
-        known = components(edges).withColumnRenamed("component", "comp_")
-        rows = one.join(known, "node", "left").withColumn("comp", F.coalesce("comp_", "node"))
-        pairs = checkpointed(_candidates(rows, None, percent, tries, hot, blocks, parts))
+        known = components(edges).withColumnRenamed("component", "comp")
+        known = members.select("node", "batch", "place").join(known, "node").groupBy("batch").agg(F.collect_list(F.struct("place", "comp")).alias("known"))
+        pairs = checkpointed(_candidates(shared.join(known, "batch", "left"), percent, tries, blocks, parts))
         n_pairs, cut = pairs.agg(F.count("*"), F.max("cut")).first()
         if n_pairs:
-            edges = checkpointed(edges.union(_verified(docs, text, pairs, n, percent)))
+            edges = checkpointed(edges.union(linked(pairs)))
         if not cut:
-            return table, edges
+            return members, edges
         tries *= 16
 
 
