@@ -6,12 +6,13 @@ points' coordinate minima, and the maxima of an R-tree node's points bound all p
 
 1. A sketch of fixed size counts all shingles of all documents; rarer classes come first in the order of shingles.
 2. A pair with similarity s or more shares one of the first n - ceil(s n) + 1 shingles of both sets in that order, so
-   documents are dealt out by those shingles; first 4 bytes of each, to find out which are shared at all, then points and
-   sizes for the shared ones.  Every group of documents with a shingle in common is joined with itself by
+   documents are dealt out by those shingles: first 4 bytes of each, to find out which are shared at all; then these with
+   their documents' components, to find out which are contested by two components; then points and sizes for the
+   contested ones.  Every group of documents with a shingle in common is joined with itself by
    an R-tree on (points, sizes), nodes against nodes; node pairs go whose bound is too low for their sizes, and
    node pairs that lie in one known component.  A shingle with more than `hot` documents is dealt out as pairs of
    blocks, so no task gets an unbounded group.
-3. Surviving pairs are bound once more by finer points (about n/4 groups), and those that are left are verified on the
+3. Surviving pairs of long documents are bound once more by finer points (about n/4 groups), and those that are left are verified on the
    whole sets, which are read again from the texts for those documents alone.
 4. Rounds: the first deals out three shingles a document and tries few partners, which finds nearly all components.  The
    following ones deal out all shingles and look only for links between different components: a document
@@ -40,7 +41,7 @@ from .components import components
 from .shared import checkpointed, shuffle_partitions
 from .textbytes import chunks, column_buffer, mix64, shingle_sets
 
-GROUPS = 64
+GROUPS = 256
 #: The sketch's cells: 2**19, whatever the input.
 SKETCH_BITS = 19
 _BLOCK = 1 << 14
@@ -69,7 +70,7 @@ def _texts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Recor
 
 def fine_bits(n: int) -> int:
     """Finer points have 2**bits coordinates: about n/4, GROUPS at least."""
-    return max(6, min(20, (max(n, 1) // 4).bit_length()))
+    return max(8, min(20, (max(n, 1) // 4).bit_length()))
 
 
 def _set_hash(s: np.ndarray) -> int:
@@ -103,7 +104,7 @@ def rarity(docs: DataFrame, text: str, n: int) -> np.ndarray:
     return np.where(cells <= common, 0, 1 + np.floor(np.log2(np.maximum(cells, 1) / common))).astype(np.uint8)
 
 
-_BATCH = "batch bigint, docs binary, valid binary, nodes binary, sizes binary, deals binary, width int, points binary, fine binary, prefix binary"
+_BATCH = "batch bigint, docs binary, valid binary, nodes binary, sizes binary, deals binary, width int, fine binary, prefix binary"
 
 
 def _batches(docs: DataFrame, key: str, text: str, n: int, percent: int, classes) -> DataFrame:
@@ -117,20 +118,18 @@ def _batches(docs: DataFrame, key: str, text: str, n: int, percent: int, classes
             size = np.array([len(s) for s in sets], np.uint32)
             nodes = np.array([_set_hash(s) if len(s) else 0 for s in sets], np.int64)
             deals = np.zeros(len(sets), bool)
-            points, fines, prefixes = [], [], []
+            fines, prefixes = [], []
             for i, s in enumerate(sets):
                 if not len(s) or int(nodes[i]) in seen:
                     continue
                 seen.add(int(nodes[i]))
                 deals[i] = True
                 bits = fine_bits(len(s))
-                fine = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-                points.append(fine.reshape(GROUPS, -1).sum(1))
-                fines.append(np.minimum(fine, 255).astype(np.uint8))
+                fines.append(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits))
                 place = order[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 take = prefix_size(len(s), percent)
                 prefixes.append(s[:take] if not place.any() else s[np.argsort(place, kind="stable")[:take]])
-            flat = np.concatenate([np.zeros(0, np.int64), *points])
+            flat = np.concatenate([np.zeros(0, np.int64), *fines])
             width = 1 if not len(flat) or flat.max() < 256 else 2 if flat.max() < 65536 else 4
             ids = part.column(0)
             values = [
@@ -141,7 +140,6 @@ def _batches(docs: DataFrame, key: str, text: str, n: int, percent: int, classes
                 deals.tobytes(),
                 width,
                 flat.astype(f"<u{width}").tobytes(),
-                np.concatenate([np.zeros(0, np.uint8), *fines]).tobytes(),
                 np.concatenate([np.zeros(0, np.uint64), *prefixes]).tobytes(),
             ]
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *(pa.array([v], pa.int32() if isinstance(v, int) else pa.binary()) for v in values)], names=names)
@@ -159,12 +157,18 @@ class Batch:
         self.docs, self.nodes = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["nodes"], np.int64)
         self.valid, self.deals = np.frombuffer(row["valid"], bool), np.frombuffer(row["deals"], bool)
         self.sizes = np.frombuffer(row["sizes"], np.uint32)
-        self.points = np.frombuffer(row["points"], f"<u{row['width']}").reshape(-1, GROUPS)
         self.keys = np.frombuffer(row["prefix"], np.uint64)
         self.rows = np.flatnonzero(self.deals)
         n = self.sizes[self.rows].astype(np.int64)
         self.counts = n - -(-percent * n // 100) + 1
         self.owner = np.repeat(np.arange(len(self.rows)), self.counts)  # which of the dealt rows each key is of
+        self.width = row["width"]
+        flat = np.frombuffer(row["fine"], f"<u{row['width']}")
+        self.fine = np.split(flat, np.cumsum([1 << fine_bits(int(x)) for x in n])[:-1]) if len(n) else []
+
+    def points(self, rows: np.ndarray) -> np.ndarray:
+        """The points of some of the dealt rows: the finer ones' neighbours summed."""
+        return np.array([self.fine[i].reshape(GROUPS, -1).sum(1, dtype=np.int64) for i in rows], np.int64).reshape(-1, GROUPS)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -255,14 +259,79 @@ def _chosen(first: int | None, percent: int, parts: int):
             kept = counts > 0
             if not kept.any():
                 continue
-            rows = b.rows[kept]
-            values = [rows.astype(np.int32), b.nodes[rows], b.sizes[rows], counts[kept], int(b.points.dtype.itemsize), b.points[kept], b.keys[some]]
+            rows, points = b.rows[kept], b.points(np.flatnonzero(kept))
+            width = 1 if points.max() < 256 else 2 if points.max() < 65536 else 4
+            values = [rows.astype(np.int32), b.nodes[rows], b.sizes[rows], counts[kept], width, points.astype(f"<u{width}"), b.keys[some]]
             yield pa.RecordBatch.from_arrays([pa.array([b.id], pa.int64()), *(pa.array([v if isinstance(v, int) else v.tobytes()], pa.int32() if isinstance(v, int) else pa.binary()) for v in values)], names=names)
 
     names = [c.split()[0] for c in _DEALT.split(", ")]
     return run
 
 
+def _components_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of a dealt batch and their components: their own where none is known."""
+    nodes = np.frombuffer(row["nodes"], np.int64)
+    label = {x["place"]: x["comp"] for x in row.get("known") or []}
+    return nodes, np.array([label.get(x, y) for x, y in zip(np.frombuffer(row["places"], np.int32).tolist(), nodes.tolist(), strict=True)], np.int64)
+
+
+_CLAIM = [("key", "<u4"), ("comp", "<i8")]
+_TRIED = "batch bigint, comps binary, nodes binary, sizes binary, counts binary, width int, points binary, keys binary"
+
+
+def _contested(rows: DataFrame, parts: int) -> DataFrame:
+    """Dealt batches (with `known` components) cut down to the keys that documents of two components hold."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            key = np.frombuffer(row["keys"], np.uint64)
+            _, comp = _components_of(row)
+            part, short, order = _spread(key, parts)
+            claim = np.zeros(len(key), _CLAIM)
+            claim["key"], claim["comp"] = short[order], np.repeat(comp, np.frombuffer(row["counts"], np.uint32))[order]
+            part = part[order]
+            cuts = np.flatnonzero(np.diff(part, prepend=-1))
+            blobs = [claim[i:j].tobytes() for i, j in zip(cuts, [*cuts[1:], len(part)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(np.full(len(cuts), row["batch"])), pa.array(blobs, pa.binary())], names=["part", "batch", "claims"])
+
+    def find(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, blobs = [], []
+        for batch in batches:
+            ids += batch.column(1).to_pylist()
+            blobs += batch.column(2).to_pylist()
+        claim = np.frombuffer(b"".join(blobs), _CLAIM)
+        order = np.argsort(claim["key"], kind="stable")
+        keys, comps = claim["key"][order], claim["comp"][order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        start, run = np.flatnonzero(new), np.cumsum(new) - 1
+        mixed = np.zeros(len(claim), bool)
+        mixed[order] = (np.minimum.reduceat(comps, start) != np.maximum.reduceat(comps, start))[run]
+        ends = np.cumsum([len(x) // claim.itemsize for x in blobs])
+        flags = [(i, x) for i, x in zip(ids, np.split(mixed, ends[:-1]), strict=True) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in flags], pa.int64()), pa.array([key[0].as_py()] * len(flags), pa.int32()), pa.array([np.packbits(x).tobytes() for _, x in flags], pa.binary())], names=["batch", "part", "bits"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            key, counts = np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.uint32)
+            nodes, comp = _components_of(row)
+            part, _, order = _spread(key, parts)
+            sizes = np.bincount(part, minlength=parts)
+            bits = {x["part"]: np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=int(sizes[x["part"]])) for x in row["marks"]}
+            flags = np.concatenate([bits[p] if p in bits else np.zeros(int(sizes[p]), np.uint8) for p in np.flatnonzero(sizes).tolist()])
+            some = np.sort(order[flags.astype(bool)])
+            left = np.bincount(np.repeat(np.arange(len(nodes)), counts)[some], minlength=len(nodes)).astype(np.uint32)
+            kept = left > 0
+            points = np.frombuffer(row["points"], f"<u{row['width']}").reshape(-1, GROUPS)[kept]
+            values = [comp[kept], nodes[kept], np.frombuffer(row["sizes"], np.uint32)[kept], left[kept], row["width"], points, key[some]]
+            yield pa.RecordBatch.from_arrays([pa.array([row["batch"]], pa.int64()), *(pa.array([v if isinstance(v, int) else np.ascontiguousarray(v).tobytes()], pa.int32() if isinstance(v, int) else pa.binary()) for v in values)], names=names)
+
+    names = [c.split()[0] for c in _TRIED.split(", ")]
+    claims = rows.select("batch", "places", "nodes", "counts", "keys", "known").mapInArrow(deal, "part int, batch bigint, claims binary")
+    found = claims.groupBy("part").applyInArrow(find, "batch bigint, part int, bits binary")
+    marks = found.groupBy("batch").agg(F.collect_list(F.struct("part", "bits")).alias("marks"))
+    return rows.join(marks, "batch").mapInArrow(cut, _TRIED)
+
+
 _RECORD = [("key", "<u4"), ("node", "<i8"), ("comp", "<i8"), ("n", "<u4")]
 
 
@@ -276,10 +345,7 @@ def _deal(parts: int, block_counts):
             owner = np.repeat(np.arange(len(nodes)), np.frombuffer(row["counts"], np.uint32))
             width = row["width"]
             points = np.frombuffer(row["points"], f"<u{width}").reshape(-1, GROUPS)
-            comp = nodes.copy()
-            if known := row.get("known"):
-                label = {x["place"]: x["comp"] for x in known}
-                comp = np.array([label.get(x, y) for x, y in zip(np.frombuffer(row["places"], np.int32).tolist(), nodes.tolist(), strict=True)], np.int64)
+            comp = np.frombuffer(row["comps"], np.int64)
             n_blocks = blocks_of[(key >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
             if (large := np.flatnonzero(n_blocks > 1)).size:
                 times = n_blocks[large]
@@ -428,11 +494,13 @@ def group_candidates(record: np.ndarray, percent: int, limit: int, small: int =
 
     def test(i: np.ndarray, j: np.ndarray, store: Tries) -> None:
         keep = (comp[i] != comp[j]) & (100 * size[i] >= percent * size[j]) & (100 * size[j] >= percent * size[i])
-        i, j = i[keep], j[keep]
-        bound = np.minimum(points[i], points[j]).sum(1, dtype=np.int64)
-        keep = bound >= least_overlap(size[i] + size[j], percent)
-        if keep.any():
-            offer(i[keep], j[keep], store, bound[keep])
+        left, right = i[keep], j[keep]
+        for a in range(0, len(left), 50_000):
+            i, j = left[a : a + 50_000], right[a : a + 50_000]
+            bound = np.minimum(points[i], points[j]).sum(1, dtype=np.int64)
+            keep = bound >= least_overlap(size[i] + size[j], percent)
+            if keep.any():
+                offer(i[keep], j[keep], store, bound[keep])
 
     store = Tries(limit)
     little = np.flatnonzero(counts <= small)
@@ -497,8 +565,7 @@ def _bounded(table: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             b = Batch(row, percent)
-            ends = np.cumsum([1 << fine_bits(int(n)) for n in b.sizes[b.rows]])
-            fine = [row["fine"][i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+            fine = [np.minimum(x, 255).astype(np.uint8).tobytes() for x in b.fine]
             yield pa.RecordBatch.from_arrays([pa.array(b.nodes[b.rows]), pa.array(b.sizes[b.rows].astype(np.int64)), pa.array(fine, pa.binary())], names=["node", "size", "fine"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -515,7 +582,7 @@ def _bounded(table: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 keep.append(common >= -(-percent * total // (100 + percent)))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    known = table.select("batch", "docs", "valid", "nodes", "sizes", "deals", "width", "points", "fine", "prefix").mapInArrow(points, "node bigint, size bigint, fine binary")
+    known = table.mapInArrow(points, "node bigint, size bigint, fine binary")
     known = known.groupBy("node").agg(F.first("size").alias("size"), F.first("fine").alias("fine"))
     x, y = (known.select(F.col("node").alias(c), F.col("size").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}")) for c in "ab")
     both = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "n_a", "fine_a", "n_b", "fine_b")
@@ -581,14 +648,16 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     def linked(candidates: DataFrame) -> DataFrame:
         return checkpointed(_verified(docs, text, checkpointed(_bounded(table, candidates, percent)), n, percent))
 
-    few = checkpointed(_candidates(table.mapInArrow(_chosen(3, percent, parts), _DEALT), percent, 2, blocks, parts))
+    few = table.mapInArrow(_chosen(3, percent, parts), _DEALT).withColumn("comps", F.col("nodes"))
+    few = checkpointed(_candidates(few, percent, 2, blocks, parts))
     edges = linked(few)
     shared = table.join(_shared(table, percent, parts), "batch").mapInArrow(_chosen(None, percent, parts), _DEALT)
     shared = checkpointed(shared)
     while True:
         known = components(edges).withColumnRenamed("component", "comp")
         known = members.select("node", "batch", "place").join(known, "node").groupBy("batch").agg(F.collect_list(F.struct("place", "comp")).alias("known"))
-        pairs = checkpointed(_candidates(shared.join(known, "batch", "left"), percent, tries, blocks, parts))
+        tried = checkpointed(_contested(shared.join(known, "batch", "left"), parts))
+        pairs = checkpointed(_candidates(tried, percent, tries, blocks, parts))
         n_pairs, cut = pairs.agg(F.count("*"), F.max("cut")).first()
         if n_pairs:
             edges = checkpointed(edges.union(linked(pairs)))
