@@ -47,6 +47,8 @@ SKETCH_BITS = 19
 _BLOCK = 1 << 14
 LEAF = 32
 FAN = 32
+#: Bytes of the records that one task holds at a time.
+PART_BYTES = 24 << 20
 #: Words of the filter that says whose sets are needed: 64 bits each.
 _WORDS = 1 << 18
 
@@ -332,11 +334,18 @@ def _contested(rows: DataFrame, parts: int) -> DataFrame:
     return rows.join(marks, "batch").mapInArrow(cut, _TRIED)
 
 
-_RECORD = [("key", "<u4"), ("node", "<i8"), ("comp", "<i8"), ("n", "<u4")]
+_CLAIMED = [("key", "<u4"), ("doc", "<u4")]
+
+
+def _document(width: int) -> list:
+    return [("node", "<i8"), ("comp", "<i8"), ("n", "<u4"), ("points", f"<u{width}", GROUPS)]
 
 
 def _deal(parts: int, block_counts):
-    """Rows (part, width, records) of a batch's documents; hot shingles go out as pairs of blocks."""
+    """Rows (part, width, documents, claims): a part's documents once each, and its keys with places among them.
+
+    Hot shingles go out as pairs of blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks_of = block_counts.value
@@ -358,12 +367,17 @@ def _deal(parts: int, block_counts):
                 owner = np.concatenate([owner[rest], owner[large][at]])
             part, short, order = _spread(key, parts)
             part, short, owner = part[order], short[order], owner[order]
-            record = np.zeros(len(part), [*_RECORD, ("points", f"<u{width}", GROUPS)])
-            record["key"], record["node"], record["comp"], record["n"] = short, nodes[owner], comp[owner], sizes[owner]
-            record["points"] = points[owner]
+            table = np.zeros(len(nodes), _document(width))
+            table["node"], table["comp"], table["n"], table["points"] = nodes, comp, sizes, points
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
-            blobs = [record[i:j].tobytes() for i, j in zip(cuts, [*cuts[1:], len(part)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(np.full(len(cuts), width, np.int32)), pa.array(blobs, pa.binary())], names=["part", "width", "records"])
+            documents, claims = [], []
+            for i, j in zip(cuts, [*cuts[1:], len(part)], strict=True):
+                own, place = np.unique(owner[i:j], return_inverse=True)
+                claim = np.zeros(j - i, _CLAIMED)
+                claim["key"], claim["doc"] = short[i:j], place
+                documents.append(table[own].tobytes())
+                claims.append(claim.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(np.full(len(cuts), width, np.int32)), pa.array(documents, pa.binary()), pa.array(claims, pa.binary())], names=["part", "width", "documents", "claims"])
 
     return run
 
@@ -433,7 +447,7 @@ class RTree:
 
 
 class Tries:
-    """The best-bounded `limit` partners of each document that tries, over all chunks; `cut` says whether any had more."""
+    """The best-bounded `limit` partners of each document that tries, over all its shingles here; `cut`: some had more."""
 
     def __init__(self, limit: int):
         self.limit, self.parts, self.rows, self.cut = limit, [], 0, False
@@ -441,41 +455,41 @@ class Tries:
     def add(self, who: np.ndarray, partner: np.ndarray, estimate: np.ndarray) -> None:
         self.parts.append((who, partner, estimate))
         self.rows += len(who)
-        if self.rows > 2_000_000:
+        if self.rows > 1_000_000:
             self.shrink()
 
     def shrink(self) -> None:
         if not self.parts:
             return
         who, partner, estimate = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
+        _, once = np.unique(who << 32 | partner, return_index=True)
+        who, partner, estimate = who[once], partner[once], estimate[once]
         order = np.lexsort((mix64((partner ^ who).view(np.uint64)), -estimate, who))
         who, partner, estimate = who[order], partner[order], estimate[order]
-        start = np.flatnonzero(np.diff(who, prepend=who[0] - 1 if len(who) else 0))
+        start = np.flatnonzero(np.diff(who, prepend=-1))
         rank = np.arange(len(who)) - np.repeat(start, np.diff(np.append(start, len(who))))
-        # One partner may come twice, from hot blocks that overlap; that only counts against the limit.
         keep = rank < self.limit
         self.cut |= not keep.all()
         self.parts, self.rows = [(who[keep], partner[keep], estimate[keep])], int(keep.sum())
 
 
-def group_candidates(record: np.ndarray, percent: int, limit: int, small: int = 48) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Node pairs to verify among rows dealt out by shingle, and whether some had more partners than the limit."""
-    record = record[np.lexsort((record["node"], record["key"]))]
-    key, node = record["key"], record["node"]
-    keep = np.ones(len(record), bool)
-    keep[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    record = record[keep]
-    key = record["key"]
+def group_candidates(claims: np.ndarray, documents: np.ndarray, percent: int, limit: int, small: int = 48) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Node pairs to verify among documents dealt out by shingle, and whether some had more partners than the limit.
+
+    claims: (key, place among documents); documents: (node, comp, n, points), some of them there twice.
+    """
+    names, first, which_node = np.unique(documents["node"], return_index=True, return_inverse=True)
+    documents = documents[first]
+    pairs = np.unique(claims["key"].astype(np.uint64) << np.uint64(32) | which_node.ravel()[claims["doc"]].astype(np.uint64))
+    key, doc = (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
     same_next = np.zeros(len(key), bool)
     same_next[:-1] = key[1:] == key[:-1]
     shared = same_next.copy()
     shared[1:] |= same_next[:-1]
-    record = record[shared]
-    if not len(record):
+    key, doc = key[shared], doc[shared]
+    if not len(key):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), False
-    key, node, comp, size = (record[c] for c in ("key", "node", "comp", "n"))
-    size = size.astype(np.int64)
-    points = record["points"]
+    comp, size, points = documents["comp"][doc], documents["n"][doc].astype(np.int64), documents["points"]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     counts = np.diff(np.append(starts, len(key)))
     run = np.repeat(np.arange(len(starts)), counts)
@@ -489,15 +503,14 @@ def group_candidates(record: np.ndarray, percent: int, limit: int, small: int =
 
     def offer(i: np.ndarray, j: np.ndarray, store: Tries, bound: np.ndarray) -> None:
         turn = (crowd[i] > crowd[j]) | (crowd[i] == crowd[j]) & (comp[i] > comp[j])
-        who, partner = np.where(turn, j, i), np.where(turn, i, j)
-        store.add(who.astype(np.int64), partner.astype(np.int64), bound / (size[i] + size[j] - bound))
+        store.add(doc[np.where(turn, j, i)], doc[np.where(turn, i, j)], bound / (size[i] + size[j] - bound))
 
     def test(i: np.ndarray, j: np.ndarray, store: Tries) -> None:
         keep = (comp[i] != comp[j]) & (100 * size[i] >= percent * size[j]) & (100 * size[j] >= percent * size[i])
         left, right = i[keep], j[keep]
         for a in range(0, len(left), 50_000):
             i, j = left[a : a + 50_000], right[a : a + 50_000]
-            bound = np.minimum(points[i], points[j]).sum(1, dtype=np.int64)
+            bound = np.minimum(points[doc[i]], points[doc[j]]).sum(1, dtype=np.int64)
             keep = bound >= least_overlap(size[i] + size[j], percent)
             if keep.any():
                 offer(i[keep], j[keep], store, bound[keep])
@@ -515,7 +528,7 @@ def group_candidates(record: np.ndarray, percent: int, limit: int, small: int =
         own = slice(begin, begin + m)
         if (comp[own] == comp[begin]).all():
             continue
-        tree = RTree(points[own], size[own], comp[own])
+        tree = RTree(points[doc[own]], size[own], comp[own])
         c = np.arange(LEAF)
         for i, j in tree.candidate_blocks(percent):
             left = np.repeat(i[:, None, None] * LEAF + c[None, :, None], LEAF, 2).ravel()
@@ -526,7 +539,7 @@ def group_candidates(record: np.ndarray, percent: int, limit: int, small: int =
     if not store.parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), False
     who, partner, _ = store.parts[0]
-    a, b = np.minimum(node[who], node[partner]), np.maximum(node[who], node[partner])
+    a, b = np.minimum(names[who], names[partner]), np.maximum(names[who], names[partner])
     pairs = np.unique(np.stack([a, b], 1), axis=0)
     return pairs[:, 0], pairs[:, 1], store.cut
 
@@ -535,26 +548,31 @@ def _candidates(rows: DataFrame, percent: int, limit: int, blocks, parts: int) -
     """(a, b, cut): distinct pairs of nodes to verify."""
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: list[tuple[int, bytes, bytes]] = []
         current = None
 
         def flush():
-            full = [*_RECORD, ("points", f"<u{max(held)}", GROUPS)]
-            record = np.concatenate([np.frombuffer(x, [*_RECORD, ("points", f"<u{w}", GROUPS)]).astype(full) for w, xs in held.items() for x in xs])
+            full = _document(max(w for w, _, _ in held))
+            tables = [np.frombuffer(d, _document(w)) for w, d, _ in held]
+            starts = np.cumsum([0, *map(len, tables)])
+            claims = [np.frombuffer(c, _CLAIMED).copy() for _, _, c in held]
+            for claim, start in zip(claims, starts, strict=False):
+                claim["doc"] += np.uint32(start)
+            documents = np.concatenate([t.astype(full) for t in tables])
             held.clear()
-            a, b, cut = group_candidates(record, percent, limit)
+            a, b, cut = group_candidates(np.concatenate(claims), documents, percent, limit)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), cut))], names=["a", "b", "cut"])
 
         for batch in batches:
-            for part, width, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for part, *blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part != current and held:
                     yield flush()
                 current = part
-                held.setdefault(width, []).append(blob)
+                held.append(tuple(blob))
         if held:
             yield flush()
 
-    dealt = rows.mapInArrow(_deal(parts, blocks), "part int, width int, records binary")
+    dealt = rows.mapInArrow(_deal(parts, blocks), "part int, width int, documents binary, claims binary")
     found = dealt.repartition(shuffle_partitions(rows.sparkSession), "part").sortWithinPartitions("part").mapInArrow(group, "a bigint, b bigint, cut boolean")
     return found.groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
@@ -628,7 +646,7 @@ def _verified(docs: DataFrame, text: str, pairs: DataFrame, n: int, percent: int
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a bigint, b bigint")
 
 
-def links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, tries: int = 8, hot: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, tries: int = 16, hot: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """Checkpointed documents (doc, node, n_shingles, ...) and links (a, b) between nodes.
 
     A node is a set; the links connect all sets that a path of similar pairs connects.
@@ -657,7 +675,9 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
         known = components(edges).withColumnRenamed("component", "comp")
         known = members.select("node", "batch", "place").join(known, "node").groupBy("batch").agg(F.collect_list(F.struct("place", "comp")).alias("known"))
         tried = checkpointed(_contested(shared.join(known, "batch", "left"), parts))
-        pairs = checkpointed(_candidates(tried, percent, tries, blocks, parts))
+        # Parts as large as memory allows: what a document tries is limited for each part, and pairs meet in fewer of them.
+        held = tried.agg(F.sum(F.length("keys"))).first()[0] or 0
+        pairs = checkpointed(_candidates(tried, percent, tries, blocks, max(8, held // 8 * (GROUPS + 24) // PART_BYTES)))
         n_pairs, cut = pairs.agg(F.count("*"), F.max("cut")).first()
         if n_pairs:
             edges = checkpointed(edges.union(linked(pairs)))
