@@ -29,7 +29,9 @@ from pyspark.sql import DataFrame
 # Fixed value: the byte-level pre-tokenizer's pattern.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Encoded words that a worker remembers at most; beyond that the memory starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
+#: And entries of the transition table, counted when the words' memory starts afresh.
+TRANSITIONS = 300_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -54,7 +56,7 @@ class Automaton:
                 live.add(merged)
                 self.left[merged], self.right[merged], self.made[merged] = u, v, order
                 self.gadget[u, v] = order
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}
         self.arcs = {labels[t]: t for t in sorted(live, reverse=True)}
         self.longest = max(map(len, self.arcs), default=0)
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
@@ -88,8 +90,8 @@ class Automaton:
                 if (token := arcs.get(word[i:j])) is not None and not tried[j]:
                     if last < 0:
                         break
-                    if (allowed := table.get((last, token))) is None:
-                        allowed = table[last, token] = self.has(last, token)
+                    if (allowed := table.get(arc := last << 32 | token)) is None:
+                        allowed = table[arc] = self.has(last, token)
                     if allowed:
                         break
                 j -= 1
@@ -105,7 +107,7 @@ class Automaton:
         return path
 
     def forget(self) -> None:
-        if len(self.table) > 1_000_000:
+        if len(self.table) > TRANSITIONS:
             self.table.clear()
 
 
@@ -152,17 +154,6 @@ class Encoder(dict):
         return b"".join(map(self.emits.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_worker: list[Encoder] = []
-
-
-def _encoder(shared) -> Encoder:
-    """One encoder for each Python worker and vocabulary, so tasks share remembered words."""
-    automaton = shared.value
-    if not _worker or _worker[0].automaton is not automaton:
-        _worker[:] = [Encoder(automaton)]
-    return _worker[0]
-
-
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
@@ -178,7 +169,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     shared = docs.sparkSession.sparkContext.broadcast(load(path))  # bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoder(shared)
+        coder = Encoder(shared.value)  # its memory of words ends with the task
         for batch in _slices(batches):
             ids = [coder.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
             columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
@@ -197,7 +188,7 @@ def decode(frame: DataFrame, path: str, key: str = "doc_id", ids: str = "token_i
     shared = frame.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoder(shared)
+        coder = Encoder(shared.value)  # its memory of words ends with the task
         for batch in _slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([coder.decode(x or b"") for x in batch.column(1).to_pylist()], pa.string())], names=[key, "text"])
 

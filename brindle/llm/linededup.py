@@ -165,9 +165,9 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, key: str = "doc_id", text
     marks = bitmaps.select(F.col(key).alias("_d"), F.col("tag").alias("_t"), F.col("n_dropped").alias("_n"), F.col("keep").alias("_keep"))
     joined = rows.join(marks, (F.col("_doc") == F.col("_d")) & (F.col("_tag") == F.col("_t")), "left")
 
-    @F.pandas_udf("string")
-    def kept(texts, keeps):
-        return texts.combine(keeps, lambda t, k: kept_lines(t, None if k is None or k is np.nan else k))
+    @F.arrow_udf("string")
+    def kept(texts: pa.Array, keeps: pa.Array) -> pa.Array:
+        return pa.array([kept_lines(t.as_py(), k.as_py()) for t, k in zip(texts, keeps, strict=True)], pa.string())
 
     lines = F.coalesce(F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))), F.lit(0)) + 1
     return joined.select(

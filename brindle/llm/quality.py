@@ -29,7 +29,7 @@ from .textbytes import chunks, column_buffer, gram_hashes, mix64, word_hashes, w
 
 BITS = 18
 #: The largest number of labelled rows the model is fit on.
-SAMPLE = 8000
+SAMPLE = 6000
 
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[97:123] = 97
@@ -148,7 +148,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS) -> Model:
     def linear(which: np.ndarray) -> Model:
         some, y = [rows[i] for i in which], labels[which]
         ratio = log_count_ratio(some, y, size)
-        values = [ratio[x] / max(np.sqrt(ratio[x] @ ratio[x]), 3e-5) for x in some]
+        values = [(ratio[x] / max(np.sqrt(ratio[x] @ ratio[x]), 3e-5)).astype(np.float32) for x in some]
         w, bias = dual_coordinate_descent(some, values, np.where(y == 1, 1.0, -1.0), size)
         return Model(ratio * w, ratio, bias, 1.0, 0.0)
 
@@ -181,25 +181,24 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     kind = docs.schema[key].dataType.simpleString()
     found = texts.select("_id", F.col("_label").cast("int"), "_text").mapInArrow(run, f"_id {kind}, _label int, ids binary")
     # One row for each doc_id, whatever rows repeat it: so the sample's bound holds.
-    rows = found.groupBy("_id", "_label").agg(F.min("ids").alias("ids")).collect()
-    rows.sort(key=lambda r: r[0])
-    return fit([np.frombuffer(r["ids"], "<i4").astype(np.int64) for r in rows], np.array([r["_label"] for r in rows], np.int64), bits)
+    rows = found.groupBy("_id", "_label").agg(F.min("ids").alias("ids")).toArrow().sort_by("_id")
+    return fit([np.frombuffer(x.as_buffer(), "<i4") for x in rows.column("ids")], rows.column("_label").to_numpy().astype(np.int64), bits)
 
 
 def score(docs: DataFrame, model: Model, carry: list[str], text: str = "text", bits: int = BITS) -> DataFrame:
     """The carried columns of every row as struct `row`, and its score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two vectors of 2**bits
-    source = docs.select(F.struct(*(docs[c] for c in carry)).alias("row"), docs[text].alias("_text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            buf, offsets = column_buffer(batch.column(1))
-            for i, j in chunks(offsets):
-                ids, at = features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], bits)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(model.scores(ids, at))], names=["row", "score"])
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        model, out = shared.value, [np.zeros(0)]
+        buf, offsets = column_buffer(texts)
+        for i, j in chunks(offsets):
+            out.append(model.scores(*features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], bits)))
+        return pa.array(np.concatenate(out))
 
-    return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, score double")
+    # Only the texts go to Python; the other columns stay where they are.
+    return docs.select(F.struct(*(docs[c] for c in carry)).alias("row"), scored(docs[text]).alias("score"))
 
 
 def held_out(key) -> F.Column:

@@ -22,5 +22,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows and bytes that a Python worker gets at a time: whole texts are long, and memory beside the heap is small.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session hand texts to Python in small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

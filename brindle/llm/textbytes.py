@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 4 << 20
-PIECE = 1 << 20
+CHUNK = 1 << 20
+PIECE = 1 << 19
 
 # Fixed value: the white space the contracts split words at, x09-x0D and x20.
 SPACE = np.zeros(256, bool)
