@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import bpe, linededup, mixing, ngramjoin, quality
 from brindle.llm.queries import THRESHOLD, vocabulary
-from brindle.llm.shared import checkpointed, table
+from brindle.llm.shared import bounded_batches, checkpointed, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -29,6 +29,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many documents share, except where the line stays."""
+    bounded_batches(spark)
     docs = docs.select(*COLUMNS)
     kept = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs))
     changed = F.col("n_dropped") > 0
@@ -43,6 +44,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the smallest doc_id; of rows that share it, one."""
+    bounded_batches(spark)
     docs = docs.select(*COLUMNS)
     groups = ngramjoin.similar_groups(docs)
     gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
@@ -53,11 +55,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often as their source's target takes them."""
+    bounded_batches(spark)
     return mixing.repeated(mixing.mix(docs, carry=COLUMNS)).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids (little-endian unsigned 32-bit integers) and the digests of ids and decoded text."""
+    bounded_batches(spark)
     coded = bpe.encode(docs, vocabulary(), round_trip=True)
     return coded.select("doc_id", "n_tokens", "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
