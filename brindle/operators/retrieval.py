@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,6 +191,70 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, least: flo
     return top(scored if least is None else scored.filter(F.col("score") >= least), k)
 
 
+def _block_cosines(k: int, places: int):
+    """A block of vectors and one of queries: each query's best k by rounded cosine, then id."""
+
+    def pair(some: pa.Table, wanted: pa.Table) -> pa.Table:
+        vectors, queries = ([(r[0], np.array(r[1], np.float64)) for r in zip(x.column("id").to_pylist(), x.column("v").to_pylist(), strict=True)] for x in (some, wanted))
+        ids, scale = np.array([i for i, _ in vectors], np.int64), 10**places
+        norm = lambda m: np.sqrt(np.cumsum(m * m, 1)[:, -1]) if m.shape[1] else np.zeros(len(m))
+        sizes, found = np.array([len(v) for _, v in vectors], np.int64), []
+        for d in {len(v) for _, v in queries} if vectors else ():
+            same = np.flatnonzero(sizes == d)
+            m, asked = np.array([vectors[j][1] for j in same]).reshape(len(same), d), [q for q in queries if len(q[1]) == d]
+            norms = norm(m)
+            for qid, q in asked:
+                # Matrix sums choose, sums in order of the components decide; other lengths and zero vectors score 0.
+                both, near = norms * norm(q[None])[0], np.zeros(len(ids))
+                near[same] = np.divide(m @ q, both, out=np.zeros(len(same)), where=both != 0)
+                least = np.partition(near, len(near) - k)[len(near) - k] if len(near) > k else -np.inf
+                at = np.flatnonzero(near >= least - 2 / scale)
+                exact, place = np.zeros(len(at)), np.searchsorted(same, at)
+                inside = np.isin(at, same)
+                rows = place[inside]
+                if len(rows) and d:
+                    dots = np.cumsum(m[rows] * q, 1)[:, -1]
+                    exact[inside] = np.divide(dots, both[rows], out=np.zeros(len(rows)), where=both[rows] != 0)
+                exact = np.floor(exact * scale + 0.5) / scale
+                best = np.lexsort((ids[at], -exact))[:k]
+                found += [(qid, int(ids[at[j]]), float(exact[j])) for j in best]
+        return pa.table([pa.array([f[c] for f in found], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["qid", "id", "score"])
+
+    return pair
+
+
+def cosine_top_k_blocks(queries: DataFrame, vectors: DataFrame, k: int = 10, places: int = 6, candidate_block: int = 4096, query_block: int = 1024) -> DataFrame:
+    """(qid, id, score, rank): bigint (qid, qv) against bigint (id, v), neither side bounded, cut into blocks by a hash.
+
+    Scores are rounded before they are ranked, ties go to the smaller id.  Vectors that are null or hold null or
+    non-finite components take no part.
+    """
+    good = lambda c: F.col(c).isNotNull() & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    vectors = vectors.select("id", F.col("v").cast("array<double>").alias("v")).filter(good("v"))
+    queries = queries.select(F.col("qid").alias("id"), F.col("qv").cast("array<double>").alias("v")).filter(good("v"))
+    n, m = max(1, -(-vectors.count() // candidate_block)), max(1, -(-queries.count() // query_block))
+    spot = F.xxhash64("id")
+    vectors = vectors.withColumn("block", F.pmod(spot, F.lit(n)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    queries = queries.withColumn("part", F.pmod(spot, F.lit(m)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    best = vectors.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInArrow(_block_cosines(k, places), "qid bigint, id bigint, score double")
+    return top(best, k)
+
+
+def cosine_means(queries: DataFrame, vectors: DataFrame, by: str) -> DataFrame:
+    """(qid, by, n, score): the mean cosine of each (qid, qv) with the rows (by, v), by way of each group's sum of unit vectors."""
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    unit = lambda c: F.transform(c, lambda x: F.when(length(c) > 0, x / length(c)).otherwise(0.0))
+    rows = vectors.select(by, F.col("v").cast("array<double>").alias("v"))
+    sizes = rows.groupBy(by).agg(F.count("*").alias("n"), F.count("v").alias("with_v"))
+    parts = rows.select(by, F.size("v").alias("d"), F.posexplode(unit(F.col("v")))).groupBy(by, "d", "pos").agg(F.sum("col").alias("x"))
+    sums = parts.groupBy(by, "d").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("total"))
+    asked = queries.select("qid", F.col("qv").cast("array<double>").alias("qv")).select("qid", unit(F.col("qv")).alias("qv"))
+    pairs = asked.withColumn("d", F.size("qv")).crossJoin(sizes.withColumnRenamed(by, "g"))
+    dot = F.aggregate(F.zip_with("qv", "total", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
+    found = pairs.join(sums, sums[by].eqNullSafe(pairs["g"]) & (sums["d"] == pairs["d"]), "left")
+    return found.select("qid", F.col("g").alias(by), "n", F.when(F.col("with_v") > 0, F.coalesce(dot, F.lit(0.0)) / F.col("with_v")).alias("score"))
+
+
 def text_hash(text: Column) -> Column:
     """31 h + code of each character in 32-bit arithmetic, without sign."""
     wrap = lambda x: ((x + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648

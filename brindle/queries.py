@@ -752,6 +752,32 @@ def _(spark, sf):
     return rounded(per, 5)
 
 
+def every_50th(spark, sf):
+    """All embeddings as (id, v, label), and those with an id divisible by 50 as queries (qid, qv)."""
+    v = t(spark, sf, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").alias("v"), "label")
+    return v, v.filter("id % 50 = 0").select(F.col("id").alias("qid"), F.col("v").alias("qv"))
+
+
+_COSINES = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), n AS (SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS s FROM e),
+c AS (SELECT CAST(a.vec_id AS VARCHAR) AS qid, b.vec_id AS id, b.label, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) / (a.s * b.s) AS cosine FROM n a, n b WHERE a.vec_id % 50 = 0)"""
+
+
+@query(
+    "cosine_topk_every50",
+    f"""WITH {_COSINES}, f AS (SELECT qid, id, floor(cosine * 1000000 + 0.5) / 1000000 AS score FROM c),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM f) SELECT qid, id, score, rank FROM r WHERE rank <= 10""",
+)
+def _(spark, sf):
+    v, q = every_50th(spark, sf)
+    return retrieval.cosine_top_k_blocks(q, v, 10).select(F.col("qid").cast("string").alias("qid"), "id", "score", "rank")
+
+
+@query("cosine_by_label_every50", f"WITH {_COSINES} SELECT qid, label, count(*) AS n, floor(avg(cosine) * 100000 + 0.5) / 100000 AS score FROM c GROUP BY qid, label")
+def _(spark, sf):
+    v, q = every_50th(spark, sf)
+    return rounded(retrieval.cosine_means(q, v, "label"), 5).select(F.col("qid").cast("string").alias("qid"), "label", "n", "score")
+
+
 @query("hash_embedding")
 def _(spark, sf):
     v = retrieval.hash_embedding(retrieval.signal_text(), 16)

@@ -151,6 +151,20 @@ def test_cosine(spark):
     assert spark.range(1).select(retrieval.cosine(v(1.0, 0.0), v(2.0, 0.0)), retrieval.cosine(v(0.0, 0.0), v(1.0, 0.0)), retrieval.cosine(v(1.0), v(1.0, 0.0))).first()[:] == (1.0, 0.0, 0.0)
 
 
+@pytest.mark.parametrize("name", ["cosine_topk_every50", "cosine_by_label_every50"])
+def test_every_50th_vector_is_searched(spark, name):
+    assert {r["qid"] for r in core.QUERIES[name](spark, DATA).collect()} == {str(i) for i in range(0, 500, 50)}
+
+
+def test_cosine_blocks_equal_the_cross_join(spark):
+    rows = [(i, [float((i * j) % 7 - 3) for j in range(1, 5 if i % 9 else 4)] if i % 11 else [0.0] * 4) for i in range(120)] + [(500, None)]
+    v = spark.createDataFrame(rows, "id bigint, v array<double>")
+    q = v.filter("id % 10 = 0").selectExpr("id qid", "v qv")
+    plain = v.filter("v is not null").crossJoin(q.filter("qv is not null")).withColumn("score", F.floor(retrieval.cosine(F.col("qv"), F.col("v")) * 1000000 + 0.5) / 1000000)
+    want = sorted(tuple(r) for r in retrieval.top(plain.select("qid", "id", "score"), 10).collect())
+    assert sorted(tuple(r) for r in retrieval.cosine_top_k_blocks(q, v, 10, candidate_block=16, query_block=5).collect()) == want
+
+
 TS = """import a, { b as c } from 'x'
 export * as ns from 'y'
 @Injectable()
