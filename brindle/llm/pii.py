@@ -1,6 +1,8 @@
 """Personal data and secrets replaced by format-preserving pseudonyms.
 
-Numbers, dates and addresses are found by pattern and validated (Luhn, mod 97, calendar, octets, number plans).  A valid
+Numbers, dates and addresses are found by pattern and validated (Luhn, mod 97, calendar, octets).  Phones are found by their
+shape: +country code (or 00 and a gap) with 7 to 15 digits, three, three and four digits, or a trunk 0 with groups; digits
+without any of these are not phones.  A valid
 value is written as a number below the size of its kind's domain and permuted there by a keyed Feistel network:
 two unequal halves of the domain, ten rounds of blake2b, and cycle-walking where the halves' product is larger than
 the domain.  The result is written back in the value's own format, separators included, so it is valid again,
@@ -30,15 +32,20 @@ _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
 _PATTERN = re.compile(
     r"""(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9]))
 |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\ [A-Z0-9]{4}){2,7}(?:\ [A-Z0-9]{1,3})?)(?![A-Za-z0-9]))
-|(?P<phone>(?<![0-9A-Za-z])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\)[ ]?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9]))
 |(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))
 |(?P<date>(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-]))
 |(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))
 |(?P<card>(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}|3[47][0-9]{2}(?P<gap2>[ -])[0-9]{6}(?P=gap2)[0-9]{5})(?![0-9]))
+|(?P<phone>(?<![0-9A-Za-z+])(?:
+  (?:\+1[\ .-]?|(?<![0-9][\ .-])1[\ .-])?(?:\([0-9]{3}\)[\ .-]?|[0-9]{3}[\ .-])[0-9]{3}[\ .-][0-9]{4}(?![0-9])
+  |(?:\+|00(?=[1-9][0-9]{0,2}[\ .(-]))(?:[1-9][0-9]{0,2}[\ .-]?(?:\(0\)[\ .-]?[0-9](?:[\ .-]?[0-9]){5,11}|\([0-9]{1,5}\)(?:[\ .-]?[0-9]){4,8})|[1-9](?:[\ .-]?[0-9]){6,14})(?![0-9]|[.-][0-9])
+  |(?:\(0[1-9][0-9]{0,4}\)[\ .-]?[0-9](?:[\ -]?[0-9]){4,8}|0[1-9][0-9]{0,3}(?P<gap3>[\ /-])[0-9]{2}(?:(?P=gap3)?[0-9]){5,8})(?![0-9]|[.-][0-9])))
 |(?P<aws>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))
 |(?P<named>(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b)["']?[ ]?[=:][ ]?["']?)(?P<value>[A-Za-z0-9_/+-]{6,128})""",
     re.VERBOSE | re.ASCII,
 )
+_TEN = re.compile(r"(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}")
+_TWO_DIGIT_COUNTRIES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _WORTH = re.compile(r"[0-9@]|(?i:passw|pwd|secret|token|key)")
 
 
@@ -127,13 +134,42 @@ def _ssn(f: Feistel, s: str) -> str | None:
     return f"{area:03}-{group + 1:02}-{serial + 1:04}"
 
 
+def _north_american(d: str) -> bool:
+    return d[0] > "1" and d[3] > "1"
+
+
+def _phone_digits(f: Feistel, country: str, d: str) -> str:
+    """The digits after the country code (0 for a trunk prefix): ten of the North American plan stay in or out of it, others keep their leading zeros."""
+    if country == "1" and len(d) == 10:
+        if _north_american(d):
+            x = (int(d[:3]) - 200) * 800 + int(d[3:6]) - 200
+            x, line = divmod(f.permute("phone", x * 10000 + int(d[6:]), 800 * 800 * 10000), 10000)
+            area, exchange = divmod(x, 800)
+            return f"{area + 200:03}{exchange + 200:03}{line:04}"
+        while True:  # walks the cycle to the next number outside the plan
+            d = f"{f.permute('phone|other', int(d), 10**10):010}"
+            if not _north_american(d):
+                return d
+    rest = d.lstrip("0")
+    if not rest:
+        return d
+    least = 10 ** (len(rest) - 1)
+    return d[: len(d) - len(rest)] + str(f.permute(f"phone|{country}|{len(d)}", int(rest) - least, 9 * least) + least)
+
+
 def _phone(f: Feistel, s: str) -> str | None:
     d = _digits(s)
-    ten = d[-10:]
-    area, exchange, line = int(ten[:3]) - 200, int(ten[3:6]) - 200, int(ten[6:])
-    x, line = divmod(f.permute("phone", (area * 800 + exchange) * 10000 + line, 800 * 800 * 10000), 10000)
-    area, exchange = divmod(x, 800)
-    return _refill(s, d[:-10] + f"{area + 200:03}{exchange + 200:03}{line:04}")
+    if s[0] == "+" or s.startswith("00"):
+        lead = 0 if s[0] == "+" else 2
+        size = 1 if d[lead] in "17" else 2 if d[lead : lead + 2] in _TWO_DIGIT_COUNTRIES else 3
+        country, head = d[lead : lead + size], lead + size
+        if "(0)" in s and d[head] == "0":  # the trunk prefix isn't part of the number
+            head += 1
+    elif d[0] == "0" and not _TEN.fullmatch(s):
+        country, head = "0", 1
+    else:
+        country, head = "1", len(d) - 10
+    return _refill(s, d[:head] + _phone_digits(f, country, d[head:]))
 
 
 def _ip(f: Feistel, s: str) -> str | None:

@@ -447,6 +447,33 @@ def test_pseudonyms_are_valid_and_linked(spark):
         assert text[s["start"] : s["end"]] in v
 
 
+PHONES = ["+1 (017) 555-7713", "+1 (375) 155-4393", "+1 415 555 2671", "415 555 2671", "415-555-2671", "(415) 555-2671", "1-415-555-2671", "+14155552671", "+44 20 7946 0958", "+44 (0)20 7946 0958", "+49 (30) 1234567", "0044 20 7946 0958", "+33 1 23 45 67 89", "+380 44 123 4567", "020 7946 0958", "(020) 7946 0958", "01 23 45 67 89", "030/1234567"]
+
+
+@pytest.mark.parametrize("phone", PHONES)
+def test_phones_are_found_by_shape(phone):
+    f = pii.Feistel(b"k")
+    for text in (f"call {phone}.", f"{phone} 190.137.223.204 x", f"({phone}), 078-05-1120"):
+        clean, found = pii.pseudonymize(text, f)
+        kind, start, end, new = found[0]
+        assert (kind, text[start:end]) == ("phone", phone) and new != phone and phone not in clean
+        assert re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", phone)
+        assert [x[0] for x in found[1:]] == ["ip"] * ("190." in text) + ["ssn"] * ("078-" in text)
+
+
+def test_phones_are_linked_and_permuted():
+    f = pii.Feistel(b"k")
+    new = lambda s: re.sub("[^0-9]", "", pii._phone(f, s))
+    assert len({new(s)[-10:] for s in ("+1 415 555 2671", "415 555 2671", "(415) 555-2671", "1-415-555-2671", "+14155552671")}) == 1
+    assert new("+44 20 7946 0958")[2:] == new("+44 (0)20 7946 0958")[3:] == new("0044 20 7946 0958")[4:]
+    assert len({new(f"+1 (0{i:02}) 555-77{j:02}") for i in range(20) for j in range(20)}) == 400
+
+
+def test_plain_numbers_are_not_phones():
+    text = "4155552671 12345678 1,234,567 3.14159265 0-306-40615-2 2024 2025 2026 v1.2.3"
+    assert pii.pseudonymize(text, pii.Feistel(b"k")) == (text, [])
+
+
 def test_pii_odd_rows(spark, odd):
     got = pii.protect(odd).collect()
     assert len(got) == len(ODD) + 2 and [r["clean"] for r in got if r["doc_id"] == 0] == [None]
