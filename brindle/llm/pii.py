@@ -8,8 +8,10 @@ two unequal halves of the domain, ten rounds of blake2b, and cycle-walking where
 the domain.  The result is written back in the value's own format, separators included, so it is valid again,
 equal values get equal pseudonyms in all documents and formats, and different values different ones.
 
-kinds: card, ssn, phone, ip, iban, date, email (the local part), secret (access keys, values of password= or
-token=).  Null text stays null with nothing found.  Rows are independent: repeated rows, null ids and
+kinds: card, ssn, phone, ip, iban, date, email (the local part), secret (access keys; values of at least
+six characters after password, passwd, pwd, secret, token or api key and = or :, the name alone or a part between
+underscores or hyphens).  A secret's value goes up to its closing quote, without one up to white space, however long it is;
+letters and digits are replaced, other characters stay.  Null text stays null with nothing found.  Rows are independent: repeated rows, null ids and
 further columns change nothing; an empty table gives an empty table.  The key is the caller's secret: a
 permutation can be undone with it, and values can't be linked with those under another key.
 """
@@ -17,6 +19,7 @@ permutation can be undone with it, and values can't be linked with those under a
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -26,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _ROUNDS = 10
+#: Longer texts are permuted in pieces of this many characters, chained in both directions.
+_PIECE = 128
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
 
@@ -41,7 +46,8 @@ _PATTERN = re.compile(
   |(?:\+|00(?=[1-9][0-9]{0,2}[\ .(-]))(?:[1-9][0-9]{0,2}[\ .-]?(?:\(0\)[\ .-]?[0-9](?:[\ .-]?[0-9]){5,11}|\([0-9]{1,5}\)(?:[\ .-]?[0-9]){4,8})|[1-9](?:[\ .-]?[0-9]){6,14})(?![0-9]|[.-][0-9])
   |(?:\(0[1-9][0-9]{0,4}\)[\ .-]?[0-9](?:[\ -]?[0-9]){4,8}|0[1-9][0-9]{0,3}(?P<gap3>[\ /-])[0-9]{2}(?:(?P=gap3)?[0-9]){5,8})(?![0-9]|[.-][0-9])))
 |(?P<aws>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))
-|(?P<named>(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b)["']?[ ]?[=:][ ]?["']?)(?P<value>[A-Za-z0-9_/+-]{6,128})""",
+|(?P<named>(?<![A-Za-z0-9_-])[_-]*+(?i:(?:[A-Za-z0-9]++[_-]++)*?(?:password|passwd|pwd|secret|token|api[_-]?key)(?:[_-]++[A-Za-z0-9]++)*+)[_-]*+["']?[\ \t]{0,8}[=:][\ \t]{0,8})
+  (?:"(?P<double>(?:\\.|[^"\\\r\n]){6,}+)"|'(?P<single>(?:\\.|[^'\\\r\n]){6,}+)'|["']?(?P<bare>(?:[^\s"']|["'](?=[A-Za-z0-9])){6,}+))""",
     re.VERBOSE | re.ASCII,
 )
 _TEN = re.compile(r"(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}")
@@ -100,10 +106,31 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if c.isdigit())
 
 
+@functools.cache
+def _alike(c: str) -> str:
+    """Letters and digits of the same block of 128 characters and the same case; other characters are alone."""
+    if not c.isalnum():
+        return c
+    first = ord(c) & ~127
+    return "".join(x for x in map(chr, range(first, first + 128)) if x.isalnum() and x.islower() == c.islower())
+
+
 def _mixed(f: Feistel, kind: str, text: str) -> str:
     """Every letter and digit within its own class, all places permuted together."""
     hexes = kind == "secret" and all(c in "0123456789abcdef" for c in text)
-    classes = [("0123456789abcdef" if hexes else "0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c.isascii() and c.isalnum() else c for c in text]
+    classes = [("0123456789abcdef" if hexes else "0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c.isascii() and c.isalnum() else _alike(c) for c in text]
+    starts = range(0, max(1, len(text)), _PIECE)
+    pieces = [text[i : i + _PIECE] for i in starts]
+    for way in ((1, -1) if len(pieces) > 1 else (0,)):  # each piece hangs on all before it, then on all behind it
+        chain = hashlib.blake2b(key=f.key, digest_size=16)
+        for j in range(len(pieces))[:: way or 1]:
+            tag = f"{kind}|{way}{chain.hexdigest()}" if way else kind
+            pieces[j] = _piece(f, tag, pieces[j], classes[starts[j] : starts[j] + _PIECE])
+            chain.update(pieces[j].encode())
+    return "".join(pieces)
+
+
+def _piece(f: Feistel, kind: str, text: str, classes: list[str]) -> str:
     x, n = 0, 1
     for c, allowed in zip(text, classes, strict=True):
         x, n = x * len(allowed) + allowed.index(c), n * len(allowed)
@@ -220,11 +247,11 @@ def pseudonymize(text: str, f: Feistel) -> tuple[str, list[tuple[str, int, int,
         return text, []
     found, out, at, place = [], [], 0, 0
     while (m := _PATTERN.search(text, place)) is not None:
-        kind, start, end = m.lastgroup, m.start(), m.end()
-        if kind == "value":
-            kind, start = "secret", m.start("value")
-            new = _mixed(f, "secret", m["value"])
-        elif kind == "aws":
+        start, end = m.span()
+        if m["named"] is not None:
+            kind, (start, end) = "secret", next(m.span(g) for g in ("double", "single", "bare") if m[g] is not None)
+            new = _mixed(f, "secret", text[start:end]) if any(map(str.isalnum, text[start:end])) else None
+        elif m["aws"] is not None:
             kind, new = "secret", m["aws"][:4] + _mixed(f, "secret", m["aws"][4:])
         else:
             kind = next(k for k in _BY_KIND if m[k] is not None)

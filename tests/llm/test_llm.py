@@ -474,6 +474,45 @@ def test_plain_numbers_are_not_phones():
     assert pii.pseudonymize(text, pii.Feistel(b"k")) == (text, [])
 
 
+_LONG = "".join(chr(97 + i * i % 26) + str(i % 10) for i in range(100))
+SECRETS = [
+    ('token = "%s"', _LONG),
+    ('token = "%s"', _LONG * 100),
+    ("token: %s\n", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dBjftJeZ4CVP-mB92K27uhbUJU1p1r"),
+    ("password = %s", "p@ssw0rd!23"),
+    ('"password": "%s", "user": "joe"', "my long pass phrase"),
+    ("secret='%s'", 'a"b"c"d"e"f'),
+    ("pwd=%s", "it's4me2"),
+    ("API_TOKEN=%s", "abc123def"),
+    ("access_token=%s", "abc123def"),
+    ("secret_key=%s", "abc123def"),
+    ("MY_APP_API_KEY_2 = %s", "abc123def"),
+    ("--password=%s", "abc123def"),
+    ("password = %s", "pässwörter"),
+]
+
+
+@pytest.mark.parametrize("form,value", SECRETS)
+def test_secrets_are_replaced_whole(form, value):
+    text = "x " + form % value
+    clean, found = pii.pseudonymize(text, pii.Feistel(b"k"))
+    (kind, start, end, new), *others = found
+    assert kind == "secret" and not others and text[start:end] == value and clean == text[:start] + new + text[end:]
+    assert len(new) == len(value)
+    runs = lambda s: {s[i : i + 8] for i in range(len(s) - 7)}
+    assert not runs(new) & runs(value)
+    assert [c for c in new if not c.isalnum()] == [c for c in value if not c.isalnum()]
+
+
+def test_long_secrets_hang_on_every_character():
+    f = pii.Feistel(b"k")
+    new = pii._mixed(f, "secret", _LONG * 3)
+    for at in (0, 299, 599):
+        other = (_LONG * 3)[:at] + ("7" if (_LONG * 3)[at].isdigit() else "q") + (_LONG * 3)[at + 1 :]
+        got = pii._mixed(f, "secret", other)
+        assert other == _LONG * 3 or all(got[i : i + 88] != new[i : i + 88] for i in range(0, 512, 128))
+
+
 def test_pii_odd_rows(spark, odd):
     got = pii.protect(odd).collect()
     assert len(got) == len(ODD) + 2 and [r["clean"] for r in got if r["doc_id"] == 0] == [None]
