@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
 from .shared import checkpointed, shuffle_partitions
@@ -687,10 +688,26 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, **settings) -> DataFrame:
-    """(key, n_shingles, component_id, node) of every row: component_id is the smallest key that links reach, node the set."""
+    """(key, n_shingles, component_id, node, component) of every row: component_id is the smallest key that links reach.
+
+    node is the set, component what links connect: two components can have one component_id where keys repeat.  Both
+    are null for empty sets.
+    """
     table, edges = links(docs, key, text, n, percent, **settings)
     found = components(edges).withColumnRenamed("component", "label")
     rows = table.select("doc", "n_shingles", "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = rows.filter("label is not null").groupBy("label").agg(F.min("doc").alias("component_id"))
     out = rows.join(smallest, "label", "left")
-    return out.select(F.col("doc").alias(key), "n_shingles", F.when(F.col("label").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"), "node")
+    return out.select(F.col("doc").alias(key), "n_shingles", F.when(F.col("label").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"), "node", F.col("label").alias("component"))
+
+
+def with_nodes(docs: DataFrame, text: str = "text", n: int = 5) -> DataFrame:
+    """The rows with their set (node, as similar_groups names it) as a further column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s for _, some in _texts(iter([batch.select([text])]), n) for s in some]
+            node = pa.array([_set_hash(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, node], names=[*batch.schema.names, "node"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("node", LongType())]))

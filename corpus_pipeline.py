@@ -43,14 +43,21 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id; of rows that share it, one."""
+    """Of each group of near copies the row with the smallest doc_id, null ids last; of rows that share it, one.
+
+    Rows are told apart by their sets, not by doc_id, which may repeat.  Texts without words are copies of nothing:
+    of those only rows that share a doc_id and all else count once.
+    """
     bounded_batches(spark)
     docs = docs.select(*COLUMNS)
-    groups = ngramjoin.similar_groups(docs)
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
-    named = kept.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
-    return named.unionByName(kept.filter("doc_id is null"))
+    groups = ngramjoin.similar_groups(docs).filter("node is not null")
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("first"))
+    chosen = first.select(F.col("first.doc_id").alias("chosen_id"), F.col("first.node").alias("chosen_node"))
+    rows = ngramjoin.with_nodes(docs)
+    kept = rows.join(chosen, (rows["node"] == chosen["chosen_node"]) & rows["doc_id"].eqNullSafe(chosen["chosen_id"]), "left_semi")
+    lone = kept.groupBy("doc_id", "node").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+    empty = rows.filter("node is null").drop("node")
+    return lone.unionByName(empty.filter("doc_id is not null").dropDuplicates()).unionByName(empty.filter("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -564,6 +564,16 @@ def test_pipeline_against_plain_python(spark):
     assert json.dumps([n for n, _ in P.STAGES])
 
 
+def test_pipeline_keeps_one_row_of_each_component(spark):
+    import corpus_pipeline as P
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a), (1, b), (2, a), (3, c), (None, c), (None, d), (None, d), (None, ""), (None, ""), (4, ""), (4, ""), (5, b + " more"), (2, c), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DDL)
+    got = collections.Counter((r["doc_id"], r["text"]) for r in P.one_of_each(spark, docs, DATA).collect())
+    assert got == collections.Counter([(1, a), (1, b), (2, c), (None, d), (None, ""), (None, ""), (4, ""), (6, None)])
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline as P
 
