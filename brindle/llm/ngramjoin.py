@@ -8,8 +8,8 @@ points' coordinate minima, and the maxima of an R-tree node's points bound all p
 2. A pair with similarity s or more shares one of the first n - ceil(s n) + 1 shingles of both sets in that order, so
    documents are dealt out by those shingles: first 4 bytes of each, to find out which are shared at all; then these with
    their documents' components, to find out which are contested by two components; then points and sizes for the
-   contested ones.  Every group of documents with a shingle in common is joined with itself by
-   an R-tree on (points, sizes), nodes against nodes; node pairs go whose bound is too low for their sizes, and
+   contested ones.  Every group of documents with a shingle in common is joined with itself: one of at most
+   48 pair by pair, with the same bound and no tree, a larger one by an R-tree on (points, sizes), nodes against nodes; node pairs go whose bound is too low for their sizes, and
    node pairs that lie in one known component.  A shingle with more than `hot` documents is dealt out as pairs of
    blocks, so no task gets an unbounded group.
 3. Surviving pairs of long documents are bound once more by finer points (about n/4 groups), and those that are left are verified on the
