@@ -9,7 +9,7 @@ probability `sure`, by the chi-square distribution of the next leaf's distance.
 
 Equal vectors of a block are indexed once, with the k+1 smallest of their ids: more can't be among k nearest.
 Scores are inner products of the original vectors in double precision, summed in order of the components; ties
-go to the smaller vec_id.  Zero vectors take no part; see vectors.py for nulls, repeated rows and empty tables.
+go to the smaller vec_id, also where more distinct vectors tie than a query keeps.  Zero vectors take no part; see vectors.py for nulls, repeated rows and empty tables.
 """
 
 from __future__ import annotations
@@ -104,7 +104,7 @@ def local_nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, v
         far = np.take_along_axis(far, turn, 1)
         top = np.full((len(q), near), -np.inf)
         who = np.full((len(q), near), -1)
-        square = in_order(q, q)
+        square, read = in_order(q, q), np.zeros(len(q), int)
         going, place, step = np.arange(len(q)), 0, 2
         while len(going) and place < turn.shape[1]:
             leaves = turn[going, place : place + step]
@@ -114,6 +114,7 @@ def local_nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, v
             both, names = np.concatenate([top[going], found], 1), np.concatenate([who[going], members], 1)
             best = np.argpartition(-both, near - 1, axis=1)[:, :near]
             top[going], who[going] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
+            read[going] = min(place + step, turn.shape[1])
             place, step = place + step, min(2 * step, 32)  # ever more leaves at a time
             if place >= turn.shape[1]:
                 break
@@ -122,14 +123,24 @@ def local_nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, v
             with np.errstate(divide="ignore", invalid="ignore"):
                 ratio = np.where(kth > 0, far[going, place] / kth, np.inf)
             going = going[~((chi_square(ratio, m) >= sure) & np.isfinite(kth_best))]
+        # Where the cut runs through scores as good as the k-th (one of k + 1 may be the query's own), all of them are taken.
+        kth_best = np.partition(top, near - k - 1, axis=1)[:, near - k - 1]
+        slack = 1e-9 * (np.sqrt(square * largest) + np.abs(kth_best))
+        tied = np.flatnonzero(np.isfinite(kth_best) & (top.min(1) >= kth_best - slack))
+        wide = {}
+        for i in tied.tolist():
+            seen = tree.members[turn[i, : read[i]]].ravel()
+            seen = seen[seen >= 0]
+            reps = seen[distinct[seen] @ q[i] >= kth_best[i] - slack[i]]
+            wide[i] = reps, in_order(q[i][None], distinct[reps])
         valid = np.isfinite(top)
         top = np.where(valid, in_order(q[:, None, :], distinct[np.where(valid, who, 0)]), -np.inf)
         best = np.argsort(-top, axis=1, kind="stable")
         top, who = np.take_along_axis(top, best, 1), np.take_along_axis(who, best, 1)
         for i in range(len(q)):
-            reps = who[i][np.isfinite(top[i])]
+            reps, rated = wide[i] if i in wide else (who[i][np.isfinite(top[i])], top[i][np.isfinite(top[i])])
             spots = np.concatenate([order[first[r] : first[r] + size[r]] for r in reps]) if len(reps) else np.zeros(0, int)
-            scores = np.repeat(top[i][: len(reps)], size[reps])
+            scores = np.repeat(rated, size[reps])
             other = ids[spots] != query_ids[begin + i]
             spots, scores = spots[other], scores[other]
             best = np.lexsort((ids[spots], -scores))[:k]

@@ -286,6 +286,13 @@ def test_neighbours_ties_and_odd_vectors(spark):
     assert ann.nearest(vectors(spark, [])).count() == 0
 
 
+def test_neighbours_of_many_distinct_ties(spark):
+    places = random.Random(6).sample(range(100), 100)
+    rows = [(0, [1] * 100)] + [(i + 1, [int(j == p) for j in range(100)]) for i, p in enumerate(places)]
+    found = ann.nearest(vectors(spark, rows)).filter("query_id = 0").orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in found] == [(i, 1.0) for i in range(1, 21)]
+
+
 def test_chi_square():
     assert abs(ann.chi_square(np.array([15.987]), 10)[0] - 0.9) < 1e-3
 
