@@ -127,6 +127,17 @@ def _(spark, sf):
     return t(spark, sf, "documents").select("doc_id", S.head_chars("text", 3).alias("head"))
 
 
+def _head_chars(n: int) -> None:
+    @query(f"head_chars_{n}", f"SELECT doc_id, CAST(length(array_to_string(string_split(text, chr(10))[1:{n}], chr(10))) AS BIGINT) AS head FROM documents")
+    def _(spark, sf):
+        return t(spark, sf, "documents").select("doc_id", S.head_chars("text", n).alias("head"))
+
+
+# The lines that the reference reads.
+_head_chars(50)
+_head_chars(100)
+
+
 @query("lookup_by_id", "SELECT id, kind, name FROM sig WHERE id = '17'")
 def _(spark, sf):
     return sig(spark, sf).filter("id = '17'").select("id", "kind", "name").limit(1)

@@ -156,6 +156,12 @@ def test_every_50th_vector_is_searched(spark, name):
     assert {r["qid"] for r in core.QUERIES[name](spark, DATA).collect()} == {str(i) for i in range(0, 500, 50)}
 
 
+@pytest.mark.parametrize("n", [50, 100])
+def test_heads_have_the_reference_s_lines(spark, tmp_path, n):
+    spark.createDataFrame([(1, "\n".join(["ab"] * 120)), (2, "abc")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(r) for r in core.QUERIES[f"head_chars_{n}"](spark, str(tmp_path)).collect()} == {(1, 3 * n - 1), (2, 3)}
+
+
 def test_cosine_blocks_equal_the_cross_join(spark):
     rows = [(i, [float((i * j) % 7 - 3) for j in range(1, 5 if i % 9 else 4)] if i % 11 else [0.0] * 4) for i in range(120)] + [(500, None)]
     v = spark.createDataFrame(rows, "id bigint, v array<double>")
