@@ -4,7 +4,8 @@ Texts are brought to words (A-Z lower-cased, runs of digits, letters and non-ASC
 A notice of length n may differ from the text by up to `errors` edits of single characters.  By the pigeonhole
 principle a match leaves one of errors+1 pieces of the notice untouched, so an Aho-Corasick automaton over all
 pieces finds every place where a match can be; there the regex library's bounded-error matching verifies the
-edits and gives the span.
+edits and gives the span.  The parts of a notice that tell licences apart
+may have one or two edits each, and no other digit.
 
 Null text is empty: no words, no labels, score 0.  Rows are independent: repeated rows, null ids and further
 columns change nothing; an empty table gives an empty table.
@@ -41,6 +42,16 @@ NOTICES = {
     "all rights reserved": "reserved-notice",
 }
 
+# The parts of notices that tell licences apart.
+TELLING = {
+    "licensed under the apache license version 2 0": ("apache", "2 0"),
+    "released under the mit license": ("mit",),
+    "this work is licensed under the gnu general public license": ("gnu",),
+    "gnu lesser general public license": ("gnu", "lesser"),
+    "mozilla public license": ("mozilla",),
+    "licensed under cc by": ("cc by",),
+}
+
 
 def allowed_errors(notice: str) -> int:
     return max(1, len(notice) // 10)
@@ -49,10 +60,13 @@ def allowed_errors(notice: str) -> int:
 class Finder:
     """Seeds of all notices and phrases, and what verifies them.  Picklable without the automaton."""
 
-    def __init__(self, phrases: dict[str, str], notices: dict[str, str]):
+    def __init__(self, phrases: dict[str, str], notices: dict[str, str], telling: dict[str, tuple[str, ...]] = TELLING):
         self.phrases, self.notices = phrases, list(notices.items())
         self.errors = [allowed_errors(n) for n in notices]
         self.verify = [regex.compile(f"(?b)(?:{regex.escape(n, special_only=False)}){{e<={k}}}") for n, k in zip(notices, self.errors, strict=True)]
+        # Searched near the part's place: one edit in a short part, two in a longer one; digits may go, but none may be another.
+        rule = lambda part: f"[^0-9]*{part[0]}?[^0-9]*{part[-1]}?[^0-9]*" if part[0].isdigit() else f"(?:{part}){{e<={1 if len(part) < 6 else 2}}}"
+        self.telling = [[(n.index(part), len(part), part[0].isdigit(), regex.compile(rule(part))) for part in telling.get(n, ())] for n in notices]
         seeds: dict[str, list[tuple[int, int, int]]] = {}
         for i, (notice, k) in enumerate(zip(notices, self.errors, strict=True)):
             cuts = [len(notice) * j // (k + 1) for j in range(k + 2)]
@@ -85,7 +99,8 @@ class Finder:
             high = min(at + len(notice) + k, int(row_ends[row]))
             if high <= low:
                 continue
-            if (m := self.verify[i].search(text, low, high)) is not None:
+            m = self.verify[i].search(text, low, high)
+            if m is not None and all(part.fullmatch(text, max(low, m.start() + at - k), m.end()) if digits else part.search(text, max(low, m.start() + at - k), min(high, m.start() + at + size + k)) for at, size, digits, part in self.telling[i]):
                 done[i] = m.end()
                 found.append((m.start(), m.end(), label, sum(m.fuzzy_counts), len(notice)))
         return exact, found

@@ -221,6 +221,13 @@ def test_license_fuzzy_notices(spark):
     assert got[0] == ["apache"] and got[1] == ["mit"] and got[3] == []
 
 
+@pytest.mark.parametrize("text", ["released under the bsd license", "released under the gpl license", "released under the mpl license", "licensed under the apache license version 1 1", "licensed under the apache license version 1 0", "licensed under cc 0"])
+def test_other_licences_are_not_taken_for_a_notice(text):
+    finder = licenses.Finder(licenses.PHRASES, licenses.NOTICES)
+    for around in (f"{text}\n", f"it is {text} with it\n"):
+        assert not finder.scan(around, np.array([len(around) - 1]))[1]
+
+
 def test_every_notice_within_its_edits_is_found():
     finder, rng = licenses.Finder(licenses.PHRASES, licenses.NOTICES), random.Random(8)
     for notice, label in licenses.NOTICES.items():
