@@ -1,24 +1,29 @@
-"""N-gram Jaccard join: count-vector R-trees over documents that share a rare shingle.
-
-A document is the set of its distinct n-word shingles, hashed to 64 bits.  The shingles fall into GROUPS groups by their
-hash, and a document's point is its count in each group.  Two sets can't share more shingles than the sum of their
-points' coordinate minima, and the maxima of an R-tree node's points bound all points below it the same way.
-
-1. A sketch of fixed size counts all shingles of all documents; rarer classes come first in the order of shingles.
-2. A pair with similarity s or more shares one of the first n - ceil(s n) + 1 shingles of both sets in that order, so
-   documents are dealt out by those shingles: first 4 bytes of each, to find out which are shared at all; then these with
-   their documents' components, to find out which are contested by two components; then points and sizes for the
-   contested ones.  Every group of documents with a shingle in common is joined with itself: one of at most
-   48 pair by pair, with the same bound and no tree, a larger one by an R-tree on (points, sizes), nodes against nodes; node pairs go whose bound is too low for their sizes, and
-   node pairs that lie in one known component.  A shingle with more than `hot` documents is dealt out as pairs of
-   blocks, so no task gets an unbounded group.
-3. Surviving pairs of long documents are bound once more by finer points (about n/4 groups), and those that are left are verified on the
-   whole sets, which are read again from the texts for those documents alone.
-4. Rounds: the first deals out three shingles a document and tries few partners, which finds nearly all components.  The
-   following ones deal out all shingles and look only for links between different components: a document
-   tries its `tries` best-bounded partners a shingle, and while any had more than that, another round follows
-   with 16 times as many.  So every link between two components is tested in the end, and groups of
-   near copies don't become all their pairs.
+"""N-gram Jaccard join: count-vector R-trees over the shingles that documents share.
+
+A document is the set of its distinct n-word shingles, hashed to 64 bits.  Shingles that no other document holds can't be
+part of any overlap, so they count for a document's size and for nothing else:
+
+1. All shingles are dealt out by ranges of their hash, sorted, about 8 bytes each.  A shingle that several documents of a batch
+   hold goes out once for the batch, so a hot one makes a row's part a batch, not a row a document.  Back comes which are
+   held elsewhere too, and how many documents hold them, to the power of two.
+2. A document of n shingles of which c are shared can be similar only where 100 c >= percent n; the others are done.  The
+   same is said once more of those that are left, each set once: so only keys count that two of them hold.
+3. Rarer shingles come first, those of one document before all.  Two sets with similarity s share one of the first
+   n - ceil(s n) + 1 shingles of both, which leaves c - ceil(s n) + 1 shared ones to deal documents out by.
+4. The shared shingles fall into GROUPS groups by their hash, and a document's point is its count in each group.  Two
+   sets can't share more than the sum of their points' coordinate minima, and the maxima of an R-tree node's points bound
+   all points below it the same way.  Every group of documents with a shingle in common is joined with itself: one of at
+   most 48 pair by pair with the same bound and no tree, a larger one by an R-tree on (points, sizes), nodes against
+   nodes; node pairs go whose bound is too low for their sizes, and node pairs that lie in one known component.
+5. Surviving pairs are verified on the shared shingles of both, which hold their whole overlap, and on their whole sizes.
+6. Rounds: the first deals out three shingles a document and tries few partners, which finds nearly all components.
+   Before each following one, shingles count only that documents of two components hold, and documents go by the rule of
+   step 2: so a group of near copies that nothing else contests is done.  A document tries its `tries` best-bounded
+   partners a part, and while any had more than that, another round follows with 16 times as many.  So every link
+   between two components is tested in the end, and groups of near copies don't become all their pairs.
+
+A shingle that more than `hot` documents hold is dealt out in blocks: as pairs of blocks, or in the first round in two
+blocks for each document; no task gets an unbounded group.  The texts are read once for all this, and once more for their length.
 
 Exact copies (equal sets) are one node of the graph from the start.  Null or empty texts, and those without words, have empty
 sets, link with nothing and are their own component.  A text with fewer words than n has its whole sequence as
@@ -29,6 +34,7 @@ of nulls alone has none.  An empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,15 +49,14 @@ from .shared import checkpointed, shuffle_partitions
 from .textbytes import chunks, column_buffer, mix64, shingle_sets
 
 GROUPS = 256
-#: The sketch's cells: 2**19, whatever the input.
-SKETCH_BITS = 19
-_BLOCK = 1 << 14
 LEAF = 32
 FAN = 32
+#: Shingles that a task gathers before it deals them out, and documents (their places take two bytes).
+BATCH_KEYS, BATCH_DOCS = 2_000_000, 60_000
+#: Shingles that meet in one part.
+PART_KEYS = 1_000_000
 #: Bytes of the records that one task holds at a time.
 PART_BYTES = 24 << 20
-#: Words of the filter that says whose sets are needed: 64 bits each.
-_WORDS = 1 << 18
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -71,268 +76,233 @@ def _texts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Recor
             yield batch.slice(i, j - i), shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
 
 
-def fine_bits(n: int) -> int:
-    """Finer points have 2**bits coordinates: about n/4, GROUPS at least."""
-    return max(8, min(20, (max(n, 1) // 4).bit_length()))
-
-
 def _set_hash(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def rarity(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """Each sketch cell's class: 0 up to four times the mean count, then by powers of two.  Covers all documents."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for _, sets in _texts(batches, n):
-            some = np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(64 - SKETCH_BITS)
-            cells += np.bincount(some.astype(np.int64), minlength=len(cells)).astype(np.uint32)
-        if cells.any():
-            blocks = cells.reshape(-1, _BLOCK)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([x.tobytes() for x in blocks], pa.binary())], names=["block", "cells"])
 
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_BLOCK, np.uint64)
-        for batch in batches:
-            for x in batch.column(1).to_pylist():
-                total += np.frombuffer(x, np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "cells"])
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The range of hashes that a key is in: keys in order have parts in order."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
 
-    counted = docs.select(text).mapInArrow(count, "block int, cells binary").groupBy("block").applyInArrow(add, "block int, cells binary")
-    cells = np.zeros(1 << SKETCH_BITS, np.uint64)
-    for row in counted.collect():  # 64 rows of fixed size
-        cells[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["cells"], np.uint64)
-    common = 4 * cells.mean() + 16
-    return np.where(cells <= common, 0, 1 + np.floor(np.log2(np.maximum(cells, 1) / common))).astype(np.uint8)
 
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as the bytes of their differences, the highest of all first: those are zeros, which the shuffle compresses."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype(">u8")
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
 
-_BATCH = "batch bigint, docs binary, valid binary, nodes binary, sizes binary, deals binary, width int, fine binary, prefix binary"
 
+def _unpack(blob: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(">u8").ravel()
+    return np.cumsum(steps.astype(np.uint64), dtype=np.uint64)
 
-def _batches(docs: DataFrame, key: str, text: str, n: int, percent: int, classes) -> DataFrame:
-    """Documents as rows of columns: doc ids, whether they are there, nodes (the sets' hashes), sizes, and, of those that
-    are dealt out (not empty, and no copy of one before them in the task), points and the first shingles in order."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, seen = classes.value, set()
-        at = TaskContext.get().partitionId() << 32
-        for part, sets in _texts(batches, n):
-            size = np.array([len(s) for s in sets], np.uint32)
-            nodes = np.array([_set_hash(s) if len(s) else 0 for s in sets], np.int64)
-            deals = np.zeros(len(sets), bool)
-            fines, prefixes = [], []
-            for i, s in enumerate(sets):
-                if not len(s) or int(nodes[i]) in seen:
-                    continue
-                seen.add(int(nodes[i]))
-                deals[i] = True
-                bits = fine_bits(len(s))
-                fines.append(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits))
-                place = order[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                take = prefix_size(len(s), percent)
-                prefixes.append(s[:take] if not place.any() else s[np.argsort(place, kind="stable")[:take]])
-            flat = np.concatenate([np.zeros(0, np.int64), *fines])
-            width = 1 if not len(flat) or flat.max() < 256 else 2 if flat.max() < 65536 else 4
-            ids = part.column(0)
-            values = [
-                np.ascontiguousarray(ids.fill_null(0).to_numpy(zero_copy_only=False)).tobytes(),
-                np.ascontiguousarray(ids.is_valid().to_numpy(zero_copy_only=False)).tobytes(),
-                nodes.tobytes(),
-                size.tobytes(),
-                deals.tobytes(),
-                width,
-                flat.astype(f"<u{width}").tobytes(),
-                np.concatenate([np.zeros(0, np.uint64), *prefixes]).tobytes(),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *(pa.array([v], pa.int32() if isinstance(v, int) else pa.binary()) for v in values)], names=names)
-            at += 1
-
-    names = [c.split()[0] for c in _BATCH.split(", ")]
-    return docs.select(docs[key].cast("bigint").alias("doc"), docs[text].alias("text")).mapInArrow(run, _BATCH)
-
-
-class Batch:
-    """One row of the batch table."""
-
-    def __init__(self, row: dict, percent: int):
-        self.id = row["batch"]
-        self.docs, self.nodes = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["nodes"], np.int64)
-        self.valid, self.deals = np.frombuffer(row["valid"], bool), np.frombuffer(row["deals"], bool)
-        self.sizes = np.frombuffer(row["sizes"], np.uint32)
-        self.keys = np.frombuffer(row["prefix"], np.uint64)
-        self.rows = np.flatnonzero(self.deals)
-        n = self.sizes[self.rows].astype(np.int64)
-        self.counts = n - -(-percent * n // 100) + 1
-        self.owner = np.repeat(np.arange(len(self.rows)), self.counts)  # which of the dealt rows each key is of
-        self.width = row["width"]
-        flat = np.frombuffer(row["fine"], f"<u{row['width']}")
-        self.fine = np.split(flat, np.cumsum([1 << fine_bits(int(x)) for x in n])[:-1]) if len(n) else []
-
-    def points(self, rows: np.ndarray) -> np.ndarray:
-        """The points of some of the dealt rows: the finer ones' neighbours summed."""
-        return np.array([self.fine[i].reshape(GROUPS, -1).sum(1, dtype=np.int64) for i in rows], np.int64).reshape(-1, GROUPS)
+_DEALT = "part int, batch bigint, keys binary, places binary, comps binary, many binary, first int, counts binary, low binary, high binary, home binary"
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
+class _Gathered:
+    """Documents of one batch: ids where there are any, nodes, components, sizes, and the keys of those that are dealt out."""
 
+    def __init__(self):
+        self.docs, self.valid, self.nodes, self.comps, self.sizes, self.deals, self.keys = [], [], [], [], [], [], []
+        self.held = 0
 
-def _spread(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Part and 4 bytes of each key, and the order by part."""
-    mixed = mix64(keys)
-    part = ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
-    return part, mixed.astype(np.uint32), np.argsort(part, kind="stable")
+    def add(self, doc: int | None, node: int, comp: int, size: int, keys: np.ndarray | None) -> None:
+        self.docs.append(doc or 0)
+        self.valid.append(doc is not None)
+        self.nodes.append(node)
+        self.comps.append(comp)
+        self.sizes.append(size)
+        if keys is not None and len(keys):
+            self.deals.append(len(self.docs) - 1)
+            self.keys.append(keys)
+            self.held += len(keys)
 
+    @property
+    def full(self) -> bool:
+        return self.held >= BATCH_KEYS or len(self.docs) >= BATCH_DOCS
 
-def _members(table: DataFrame, percent: int) -> DataFrame:
-    """(doc, node, n_shingles, batch, place) of every document; the node of an empty set is null."""
+    def dealt(self, batch: int, parts: int, contested: bool) -> Iterator[pa.RecordBatch]:
+        """Rows of _DEALT: for each part the keys of one document with its place, and those of many; and what stays at home."""
+        if not self.docs:
+            return
+        key = np.concatenate([np.zeros(0, np.uint64), *self.keys])
+        place = np.repeat(np.arange(len(self.keys), dtype=np.uint16), [len(k) for k in self.keys])
+        order = np.argsort(key)
+        key, place = key[order], place[order]
+        del order
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        counts = np.diff(np.append(starts, len(key)))
+        lone, many = starts[counts == 1], starts[counts > 1]
+        several, counts = counts[counts > 1], None
+        inside = np.repeat(many, several) + np.arange(int(several.sum())) - np.repeat(np.cumsum(several) - several, several)
+        comps = np.array(self.comps, np.int64)
+        ids = [np.array(x, t) for x, t in ((self.docs, np.int64), (self.valid, bool), (self.nodes, np.int64))]
+        home = pickle.dumps((*ids, comps, np.array(self.sizes, np.int64), np.array(self.deals, np.int64), key[many], several, place[inside]))
+        own = comps[self.deals] if len(self.deals) else comps[:0]
+        many_keys, lone_keys, lone_places = key[many], key[lone], place[lone]
+        runs = np.cumsum(several) - several
+        low = np.minimum.reduceat(own[place[inside]], runs) if contested and len(many) else own[:0]
+        high = np.maximum.reduceat(own[place[inside]], runs) if contested and len(many) else own[:0]
+        bounds = np.arange(parts + 1)
+        a, b = np.searchsorted(_part(lone_keys, parts), bounds), np.searchsorted(_part(many_keys, parts), bounds)
+        out: list[list] = [[] for _ in range(11)]
+        for p in np.flatnonzero((a[1:] > a[:-1]) | (b[1:] > b[:-1])).tolist():
+            i, j, k, m = int(a[p]), int(a[p + 1]), int(b[p]), int(b[p + 1])
+            row = (p, batch, _pack(lone_keys[i:j]), lone_places[i:j].tobytes(), own[lone_places[i:j]].tobytes() if contested else b"", _pack(many_keys[k:m]), k, several[k:m].astype(np.uint32).tobytes(), low[k:m].tobytes(), high[k:m].tobytes(), None)
+            for column, x in zip(out, row, strict=True):
+                column.append(x)
+        for column, x in zip(out, (batch % parts, batch, b"", b"", b"", b"", 0, b"", b"", b"", home), strict=True):
+            column.append(x)
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.int32(), *[pa.binary()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=[c.split()[0] for c in _DEALT.split(", ")])
+
+
+def _from_texts(n: int, parts: int):
+    """Documents with their whole sets.  A copy of one before it in the task isn't dealt out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            b = Batch(row, percent)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(b.docs, pa.int64(), mask=~b.valid),
-                    pa.array(b.nodes, pa.int64(), mask=b.sizes == 0),
-                    pa.array(b.sizes.astype(np.int64)),
-                    pa.array(np.full(len(b.docs), b.id)),
-                    pa.array(np.arange(len(b.docs), dtype=np.int32)),
-                ],
-                names=["doc", "node", "n_shingles", "batch", "place"],
-            )
-
-    return table.mapInArrow(run, "doc bigint, node bigint, n_shingles bigint, batch bigint, place int")
-
-
-def _shared(table: DataFrame, percent: int, parts: int) -> DataFrame:
-    """(batch, marks): for each batch and part the bits of the keys that are dealt out more than once."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            b = Batch(row, percent)
-            if not len(b.keys):
-                continue
-            part, short, order = _spread(b.keys, parts)
-            part, short = part[order], short[order]
-            cuts = np.flatnonzero(np.diff(part, prepend=-1))
-            blobs = [short[i:j].tobytes() for i, j in zip(cuts, [*cuts[1:], len(part)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(np.full(len(cuts), b.id)), pa.array(blobs, pa.binary())], names=["part", "batch", "keys"])
+        at, seen, some = TaskContext.get().partitionId() << 32, set(), _Gathered()
+        for part, sets in _texts(batches, n):
+            for doc, s in zip(part.column(0).to_pylist(), sets, strict=True):
+                node = _set_hash(s) if len(s) else 0
+                some.add(doc, node, node, len(s), None if node in seen else s)
+                seen.add(node)
+                if some.full:
+                    yield from some.dealt(at, parts, False)
+                    at, some = at + 1, _Gathered()
+        yield from some.dealt(at, parts, False)
 
-    def find(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, blobs = [], []
+    return run
+
+
+def _from_rows(parts: int, contested: bool):
+    """Documents with the keys that counted so far: (node, comp, n_shingles, keys)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, some = TaskContext.get().partitionId() << 32, _Gathered()
         for batch in batches:
-            ids += batch.column(1).to_pylist()
-            blobs += batch.column(2).to_pylist()
-        short = np.frombuffer(b"".join(blobs), np.uint32)
-        order = np.argsort(short, kind="stable")
-        again = short[order][1:] == short[order][:-1]
-        twice = np.zeros(len(short), bool)
-        twice[order[1:][again]] = True
-        twice[order[:-1][again]] = True
-        ends = np.cumsum([len(x) // 4 for x in blobs])
-        bits = [np.packbits(x).tobytes() for x in np.split(twice, ends[:-1])]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([key[0].as_py()] * len(ids), pa.int32()), pa.array(bits, pa.binary())], names=["batch", "part", "bits"])
+            for node, comp, size, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                some.add(None, node, comp, size, np.frombuffer(keys, np.uint64))
+                if some.full:
+                    yield from some.dealt(at, parts, contested)
+                    at, some = at + 1, _Gathered()
+        yield from some.dealt(at, parts, contested)
 
-    dealt = table.mapInArrow(deal, "part int, batch bigint, keys binary")
-    found = dealt.groupBy("part").applyInArrow(find, "batch bigint, part int, bits binary")
-    return found.groupBy("batch").agg(F.collect_list(F.struct("part", "bits")).alias("marks"))
+    return run
 
 
-_DEALT = "batch bigint, places binary, nodes binary, sizes binary, counts binary, width int, points binary, keys binary"
+_NOT = 255
+_FOUND = "batch bigint, places binary, keys binary, classes binary, first int, many binary, home binary"
 
 
-def _chosen(first: int | None, percent: int, parts: int):
-    """Batches cut down to the keys that go out: a document's first ones, or those that the batch's marks call shared."""
+def _find(contested: bool):
+    """What is held elsewhere too of one part's keys: by another document, or by one of another component."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            b = Batch(row, percent)
-            if first is not None:
-                some = np.flatnonzero(np.arange(len(b.keys)) - np.repeat(np.cumsum(b.counts) - b.counts, b.counts) < first)
-            else:
-                part, _, order = _spread(b.keys, parts)
-                sizes = np.bincount(part, minlength=parts)
-                bits = {x["part"]: np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=int(sizes[x["part"]])) for x in row["marks"] or []}
-                flags = np.concatenate([np.zeros(0, np.uint8), *(bits.get(p, np.zeros(int(sizes[p]), np.uint8)) for p in np.flatnonzero(sizes).tolist())])
-                some = np.sort(order[flags.astype(bool)])
-            counts = np.bincount(b.owner[some], minlength=len(b.rows)).astype(np.uint32)
-            kept = counts > 0
-            if not kept.any():
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, homes = [], []
+        for batch in batches:
+            for x in zip(*(batch.column(i).to_pylist() for i in range(1, 11)), strict=True):
+                if x[9] is not None:
+                    homes.append((x[0], None, None, None, 0, None, x[9]))
+                else:
+                    rows.append(x)
+        lone, many = [_unpack(x[1]) for x in rows], [_unpack(x[4]) for x in rows]
+        keys = np.concatenate([np.zeros(0, np.uint64), *lone, *many])
+        weight = np.concatenate([np.ones(sum(map(len, lone)), np.int64), *(np.frombuffer(x[6], np.uint32) for x in rows)]).astype(np.int64)
+        order = np.argsort(keys)
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[order][1:] != keys[order][:-1]
+        starts = np.flatnonzero(new)
+        held = np.add.reduceat(weight[order], starts) if len(keys) else weight
+        good = held > 1
+        if contested and len(keys):
+            low = np.concatenate([np.frombuffer(x[i], np.int64) for i in (3, 7) for x in rows])
+            high = np.concatenate([np.frombuffer(x[i], np.int64) for i in (3, 8) for x in rows])
+            good = np.minimum.reduceat(low[order], starts) != np.maximum.reduceat(high[order], starts)
+        kind = np.where(good, np.floor(np.log2(np.maximum(held, 1))), _NOT).astype(np.uint8)
+        classes = np.empty(len(keys), np.uint8)
+        classes[order] = kind[np.cumsum(new) - 1]
+        ends = np.cumsum([*map(len, lone), *map(len, many)])
+        each = np.split(classes, ends[:-1]) if len(rows) else []
+        out: list[list] = [list(c) for c in zip(*homes, strict=True)] or [[] for _ in range(7)]
+        for i, x in enumerate(rows):
+            some = each[i] != _NOT
+            if not some.any() and not len(many[i]):
                 continue
-            rows, points = b.rows[kept], b.points(np.flatnonzero(kept))
-            width = 1 if points.max() < 256 else 2 if points.max() < 65536 else 4
-            values = [rows.astype(np.int32), b.nodes[rows], b.sizes[rows], counts[kept], width, points.astype(f"<u{width}"), b.keys[some]]
-            yield pa.RecordBatch.from_arrays([pa.array([b.id], pa.int64()), *(pa.array([v if isinstance(v, int) else v.tobytes()], pa.int32() if isinstance(v, int) else pa.binary()) for v in values)], names=names)
+            row = (x[0], np.frombuffer(x[2], np.uint16)[some].tobytes(), lone[i][some].tobytes(), each[i][some].tobytes(), x[5], each[len(rows) + i].tobytes(), None)
+            for column, v in zip(out, row, strict=True):
+                column.append(v)
+        kinds = [pa.int64(), *[pa.binary()] * 3, pa.int32(), *[pa.binary()] * 2]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=[c.split()[0] for c in _FOUND.split(", ")])
 
-    names = [c.split()[0] for c in _DEALT.split(", ")]
     return run
 
 
-def _components_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of a dealt batch and their components: their own where none is known."""
-    nodes = np.frombuffer(row["nodes"], np.int64)
-    label = {x["place"]: x["comp"] for x in row.get("known") or []}
-    return nodes, np.array([label.get(x, y) for x, y in zip(np.frombuffer(row["places"], np.int32).tolist(), nodes.tolist(), strict=True)], np.int64)
+_KEPT = "doc bigint, node bigint, comp bigint, n_shingles bigint, batch bigint, place int, keys binary, classes binary"
 
 
-_CLAIM = [("key", "<u4"), ("comp", "<i8")]
-_TRIED = "batch bigint, comps binary, nodes binary, sizes binary, counts binary, width int, points binary, keys binary"
+def _assemble(percent: int):
+    """A batch's documents: the keys that count, rarest first, and their classes; null where they are too few for any link."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, home = [], None
+        for batch in batches:
+            for x in zip(*(batch.column(i).to_pylist() for i in range(1, 7)), strict=True):
+                if x[5] is not None:
+                    home = pickle.loads(x[5])
+                else:
+                    found.append(x)
+        docs, valid, nodes, comps, sizes, deals, many_keys, many_counts, many_places = home
+        kinds = np.full(len(many_keys), _NOT, np.uint8)
+        for x in found:
+            kinds[x[3] : x[3] + len(x[4])] = np.frombuffer(x[4], np.uint8)
+        some = kinds != _NOT
+        flags = np.repeat(some, many_counts)
+        place = np.concatenate([*(np.frombuffer(x[0], np.uint16) for x in found), many_places[flags]]).astype(np.int64)
+        keys = np.concatenate([*(np.frombuffer(x[1], np.uint64) for x in found), np.repeat(many_keys[some], many_counts[some])])
+        kind = np.concatenate([*(np.frombuffer(x[2], np.uint8) for x in found), np.repeat(kinds[some], many_counts[some])])
+        held = np.bincount(place, minlength=len(deals))
+        good = (held > 0) & (100 * held >= percent * sizes[deals])
+        kept = good[place]
+        place, keys, kind = place[kept], keys[kept], kind[kept]
+        order = np.lexsort((keys, kind, place))
+        place, keys, kind = place[order], keys[order], kind[order]
+        own, of_kind = [None] * len(docs), [None] * len(docs)
+        ends = np.searchsorted(place, np.flatnonzero(good), "right")
+        start = 0
+        for row, end in zip(deals[good].tolist(), ends.tolist(), strict=True):
+            own[row], of_kind[row] = keys[start:end].tobytes(), kind[start:end].tobytes()
+            start = end
+        n = len(docs)
+        columns = [pa.array(docs, mask=~valid), pa.array(nodes, mask=sizes == 0), pa.array(comps), pa.array(sizes), pa.array([key[0].as_py()] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array(own, pa.binary()), pa.array(of_kind, pa.binary())]
+        names = [c.split()[0] for c in _KEPT.split(", ")]
+        for i in range(0, n, 1000):
+            yield pa.RecordBatch.from_arrays([c.slice(i, 1000) for c in columns], names=names)
 
+    return run
 
-def _contested(rows: DataFrame, parts: int) -> DataFrame:
-    """Dealt batches (with `known` components) cut down to the keys that documents of two components hold."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            key = np.frombuffer(row["keys"], np.uint64)
-            _, comp = _components_of(row)
-            part, short, order = _spread(key, parts)
-            claim = np.zeros(len(key), _CLAIM)
-            claim["key"], claim["comp"] = short[order], np.repeat(comp, np.frombuffer(row["counts"], np.uint32))[order]
-            part = part[order]
-            cuts = np.flatnonzero(np.diff(part, prepend=-1))
-            blobs = [claim[i:j].tobytes() for i, j in zip(cuts, [*cuts[1:], len(part)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(np.full(len(cuts), row["batch"])), pa.array(blobs, pa.binary())], names=["part", "batch", "claims"])
+def _counted(source: DataFrame, deal, contested: bool, percent: int) -> DataFrame:
+    """Checkpointed rows of _KEPT."""
+    found = source.mapInArrow(deal, _DEALT).groupBy("part").applyInArrow(_find(contested), _FOUND)
+    return checkpointed(found.groupBy("batch").applyInArrow(_assemble(percent), _KEPT))
 
-    def find(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, blobs = [], []
-        for batch in batches:
-            ids += batch.column(1).to_pylist()
-            blobs += batch.column(2).to_pylist()
-        claim = np.frombuffer(b"".join(blobs), _CLAIM)
-        order = np.argsort(claim["key"], kind="stable")
-        keys, comps = claim["key"][order], claim["comp"][order]
-        new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        start, run = np.flatnonzero(new), np.cumsum(new) - 1
-        mixed = np.zeros(len(claim), bool)
-        mixed[order] = (np.minimum.reduceat(comps, start) != np.maximum.reduceat(comps, start))[run]
-        ends = np.cumsum([len(x) // claim.itemsize for x in blobs])
-        flags = [(i, x) for i, x in zip(ids, np.split(mixed, ends[:-1]), strict=True) if x.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in flags], pa.int64()), pa.array([key[0].as_py()] * len(flags), pa.int32()), pa.array([np.packbits(x).tobytes() for _, x in flags], pa.binary())], names=["batch", "part", "bits"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            key, counts = np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.uint32)
-            nodes, comp = _components_of(row)
-            part, _, order = _spread(key, parts)
-            sizes = np.bincount(part, minlength=parts)
-            bits = {x["part"]: np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=int(sizes[x["part"]])) for x in row["marks"]}
-            flags = np.concatenate([bits[p] if p in bits else np.zeros(int(sizes[p]), np.uint8) for p in np.flatnonzero(sizes).tolist()])
-            some = np.sort(order[flags.astype(bool)])
-            left = np.bincount(np.repeat(np.arange(len(nodes)), counts)[some], minlength=len(nodes)).astype(np.uint32)
-            kept = left > 0
-            points = np.frombuffer(row["points"], f"<u{row['width']}").reshape(-1, GROUPS)[kept]
-            values = [comp[kept], nodes[kept], np.frombuffer(row["sizes"], np.uint32)[kept], left[kept], row["width"], points, key[some]]
-            yield pa.RecordBatch.from_arrays([pa.array([row["batch"]], pa.int64()), *(pa.array([v if isinstance(v, int) else np.ascontiguousarray(v).tobytes()], pa.int32() if isinstance(v, int) else pa.binary()) for v in values)], names=names)
-
-    names = [c.split()[0] for c in _TRIED.split(", ")]
-    claims = rows.select("batch", "places", "nodes", "counts", "keys", "known").mapInArrow(deal, "part int, batch bigint, claims binary")
-    found = claims.groupBy("part").applyInArrow(find, "batch bigint, part int, bits binary")
-    marks = found.groupBy("batch").agg(F.collect_list(F.struct("part", "bits")).alias("marks"))
-    return rows.join(marks, "batch").mapInArrow(cut, _TRIED)
+
+def _parts(spark: SparkSession, keys: int) -> int:
+    return max(4 * shuffle_partitions(spark), -(-keys // PART_KEYS))
+
+
+def _recounted(rows: DataFrame, contested: bool, percent: int) -> DataFrame:
+    """(node, comp, n_shingles, keys, classes) with the keys only that two documents, or components, of these hold; others go."""
+    held = rows.agg(F.sum(F.length("keys"))).first()[0] or 0
+    deal = _from_rows(_parts(rows.sparkSession, held // 8), contested)
+    return _counted(rows.select("node", "comp", "n_shingles", "keys"), deal, contested, percent).filter("keys is not null").select("node", "comp", "n_shingles", "keys", "classes")
 
 
 _CLAIMED = [("key", "<u4"), ("doc", "<u4")]
@@ -342,34 +312,58 @@ def _document(width: int) -> list:
     return [("node", "<i8"), ("comp", "<i8"), ("n", "<u4"), ("points", f"<u{width}", GROUPS)]
 
 
-def _deal(parts: int, block_counts):
+def _spread(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Part and 4 bytes of each key, and the order by part."""
+    mixed = mix64(keys)
+    part = ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+    return part, mixed.astype(np.uint32), np.argsort(part, kind="stable")
+
+
+def _in_blocks(key: np.ndarray, owner: np.ndarray, nodes: np.ndarray, blocks: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of hot shingles once for each pair of blocks that the document's is one of; or (not every) for two blocks."""
+    large, rest = np.flatnonzero(blocks > 1), np.flatnonzero(blocks <= 1)
+    if not len(large):
+        return key, owner
+    times = blocks[large]
+    seed = nodes[owner[large]].view(np.uint64)
+    if not every:
+        first, second = (mix64(seed + np.uint64(s)) % times.astype(np.uint64) + np.uint64(s << 32) for s in (1, 2))
+        hot = [mix64(key[large] + mix64(b)) for b in (first, second)]
+        return np.concatenate([key[rest], *hot]), np.concatenate([owner[rest], owner[large], owner[large]])
+    own = (mix64(seed) % times.astype(np.uint64)).astype(np.int64)
+    at = np.repeat(np.arange(len(large)), times)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+    pair = np.minimum(own[at], other) * (1 << 20) + np.maximum(own[at], other)
+    return np.concatenate([key[rest], mix64(key[large][at] + pair.astype(np.uint64) + np.uint64(1))]), np.concatenate([owner[rest], owner[large][at]])
+
+
+def _deal(parts: int, percent: int, first: int | None, hot: int):
     """Rows (part, width, documents, claims): a part's documents once each, and its keys with places among them.
 
-    Hot shingles go out as pairs of blocks.
+    The keys are those that links must share, or the first of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks_of = block_counts.value
-        for row in _rows(batches):
-            key, nodes, sizes = np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["sizes"], np.uint32)
-            owner = np.repeat(np.arange(len(nodes)), np.frombuffer(row["counts"], np.uint32))
-            width = row["width"]
-            points = np.frombuffer(row["points"], f"<u{width}").reshape(-1, GROUPS)
-            comp = np.frombuffer(row["comps"], np.int64)
-            n_blocks = blocks_of[(key >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
-            if (large := np.flatnonzero(n_blocks > 1)).size:
-                times = n_blocks[large]
-                own = (mix64(nodes[owner[large]].view(np.uint64)) % times.astype(np.uint64)).astype(np.int64)
-                at = np.repeat(np.arange(len(large)), times)
-                other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-                pair = np.minimum(own[at], other) * (1 << 20) + np.maximum(own[at], other)
-                rest = np.flatnonzero(n_blocks == 1)
-                key = np.concatenate([key[rest], mix64(key[large][at] + pair.astype(np.uint64) + np.uint64(1))])
-                owner = np.concatenate([owner[rest], owner[large][at]])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            nodes, comps, sizes = (batch.column(i).to_numpy() for i in range(3))
+            keys, points, held = [], np.zeros((len(nodes), GROUPS), np.int64), []
+            for i, (own, kind) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
+                own, kind = np.frombuffer(own.as_buffer(), np.uint64), np.frombuffer(kind.as_buffer(), np.uint8)
+                points[i] = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+                take = len(own) - -(-percent * int(sizes[i]) // 100) + 1
+                take = take if first is None else min(take, first)
+                keys.append(own[:take])
+                held.append(kind[:take])
+            owner = np.repeat(np.arange(len(nodes)), [len(k) for k in keys])
+            blocks = -(-(2 << np.concatenate(held).astype(np.int64)) // hot)
+            key, owner = _in_blocks(np.concatenate(keys), owner, nodes, blocks, first is None)
+            width = 1 if points.max() < 256 else 2 if points.max() < 65536 else 4
+            table = np.zeros(len(nodes), _document(width))
+            table["node"], table["comp"], table["n"], table["points"] = nodes, comps, sizes, points
             part, short, order = _spread(key, parts)
             part, short, owner = part[order], short[order], owner[order]
-            table = np.zeros(len(nodes), _document(width))
-            table["node"], table["comp"], table["n"], table["points"] = nodes, comp, sizes, points
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
             documents, claims = [], []
             for i, j in zip(cuts, [*cuts[1:], len(part)], strict=True):
@@ -545,8 +539,13 @@ def group_candidates(claims: np.ndarray, documents: np.ndarray, percent: int, li
     return pairs[:, 0], pairs[:, 1], store.cut
 
 
-def _candidates(rows: DataFrame, percent: int, limit: int, blocks, parts: int) -> DataFrame:
+def _candidates(rows: DataFrame, percent: int, limit: int, first: int | None, hot: int) -> DataFrame:
     """(a, b, cut): distinct pairs of nodes to verify."""
+    # Each shingle's record is a document with its points at most: as many parts as memory asks for.
+    wanted = F.length("keys") / 8 - F.ceil(F.lit(percent) * F.col("n_shingles") / 100) + 1
+    claims = rows.agg(F.sum(wanted if first is None else F.least(wanted, F.lit(first)))).first()[0] or 0
+    partitions = shuffle_partitions(rows.sparkSession)
+    parts = max(partitions, int(claims) * (GROUPS + 24) // PART_BYTES)
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, bytes]] = []
@@ -573,115 +572,52 @@ def _candidates(rows: DataFrame, percent: int, limit: int, blocks, parts: int) -
         if held:
             yield flush()
 
-    dealt = rows.mapInArrow(_deal(parts, blocks), "part int, width int, documents binary, claims binary")
-    found = dealt.repartition(shuffle_partitions(rows.sparkSession), "part").sortWithinPartitions("part").mapInArrow(group, "a bigint, b bigint, cut boolean")
+    dealt = rows.select("node", "comp", "n_shingles", "keys", "classes").mapInArrow(_deal(parts, percent, first, hot), "part int, width int, documents binary, claims binary")
+    found = dealt.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(group, "a bigint, b bigint, cut boolean")
     return found.groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
-def _bounded(table: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that the finer points allow."""
-
-    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            b = Batch(row, percent)
-            fine = [np.minimum(x, 255).astype(np.uint8).tobytes() for x in b.fine]
-            yield pa.RecordBatch.from_arrays([pa.array(b.nodes[b.rows]), pa.array(b.sizes[b.rows].astype(np.int64)), pa.array(fine, pa.binary())], names=["node", "size", "fine"])
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for n, x, m, y in zip(*(batch.column(i) for i in (2, 3, 4, 5)), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint8).astype(np.int64), np.frombuffer(y.as_buffer(), np.uint8).astype(np.int64)
-                if x.max() == 255 or y.max() == 255:  # cut off: no bound
-                    keep.append(True)
-                    continue
-                size = min(len(x), len(y))
-                common = int(np.minimum(x.reshape(size, -1).sum(1), y.reshape(size, -1).sum(1)).sum())
-                total = n.as_py() + m.as_py()
-                keep.append(common >= -(-percent * total // (100 + percent)))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
-
-    known = table.mapInArrow(points, "node bigint, size bigint, fine binary")
-    known = known.groupBy("node").agg(F.first("size").alias("size"), F.first("fine").alias("fine"))
-    x, y = (known.select(F.col("node").alias(c), F.col("size").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}")) for c in "ab")
-    both = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "n_a", "fine_a", "n_b", "fine_b")
-    return both.mapInArrow(test, "a bigint, b bigint")
-
-
-def _verified(docs: DataFrame, text: str, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).select(F.pmod("node", F.lit(_WORDS)).cast("int").alias("word"), F.pmod(F.shiftright("node", 18), F.lit(64)).cast("int").alias("bit"))
-    bits = np.zeros(_WORDS, np.uint64)
-    # A bit filter of fixed size: at most _WORDS rows come to the driver, whatever the input.
-    for word, mask in wanted.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask")).collect():
-        bits[word] = mask & 0xFFFFFFFFFFFFFFFF
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = shared.value, set()
-        for _, sets in _texts(batches, n):
-            some = []
-            for s in sets:
-                if len(s):
-                    x = _set_hash(s)
-                    if int(bits[x % _WORDS]) >> ((x >> 18) % 64) & 1 and x not in seen:
-                        seen.add(x)
-                        some.append((x, s.tobytes()))
-            if some:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in some], pa.int64()), pa.array([s for _, s in some], pa.binary())], names=["node", "members"])
+def _verified(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough: their keys hold all that both share."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            for n, x, y in zip(total.tolist(), batch.column(4), batch.column(5), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                place = np.searchsorted(y, x)
-                common = int((y[np.minimum(place, len(y) - 1)] == x).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * common >= percent * (n - common))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    sets = docs.select(text).mapInArrow(read, "node bigint, members binary").groupBy("node").agg(F.first("members").alias("members"))
-    x, y = (sets.select(F.col("node").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a bigint, b bigint")
+    x, y = (rows.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("keys").alias(f"keys_{c}")) for c in "ab")
+    both = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "keys_a", "keys_b")
+    return checkpointed(both.mapInArrow(verify, "a bigint, b bigint"))
 
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, tries: int = 16, hot: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """Checkpointed documents (doc, node, n_shingles, ...) and links (a, b) between nodes.
+    """Checkpointed documents (doc, node, n_shingles) and links (a, b) between nodes.
 
     A node is a set; the links connect all sets that a path of similar pairs connects.
     """
     spark: SparkSession = docs.sparkSession
-    classes = rarity(docs, text, n)
-    context = spark.sparkContext
-    table = checkpointed(_batches(docs, key, text, n, percent, context.broadcast(classes)))
-    members = checkpointed(_members(table, percent))
-    total, words = members.agg(F.count("node"), F.sum("n_shingles")).first()
-    # A class's counts are known to a factor of two: hot shingles' blocks follow from them.
-    common = 4 * (words or 0) / (1 << SKETCH_BITS) + 16
-    most = np.where(classes == 0, common, common * 2.0 ** classes.astype(float))
-    blocks = context.broadcast(np.clip(np.ceil(np.minimum(most, total) / hot), 1, 1 << 19).astype(np.int32))
-    parts = max(4 * shuffle_partitions(spark), int((words or 0) * (100 - percent) // 100 // 100_000))
-
-    def linked(candidates: DataFrame) -> DataFrame:
-        return checkpointed(_verified(docs, text, checkpointed(_bounded(table, candidates, percent)), n, percent))
-
-    few = table.mapInArrow(_chosen(3, percent, parts), _DEALT).withColumn("comps", F.col("nodes"))
-    few = checkpointed(_candidates(few, percent, 2, blocks, parts))
-    edges = linked(few)
-    shared = table.join(_shared(table, percent, parts), "batch").mapInArrow(_chosen(None, percent, parts), _DEALT)
-    shared = checkpointed(shared)
+    source = docs.select(docs[key].cast("bigint").alias("doc"), docs[text].alias("text"))
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counted = _counted(source, _from_texts(n, _parts(spark, size // 6)), False, percent)
+    members = counted.select("doc", "node", "n_shingles")
+    some = counted.filter("keys is not null")
+    # Copies in other tasks: one of each set goes on.  Chosen by small rows, so that a hot set is no heap of large ones.
+    one = some.groupBy("node").agg(F.min(F.struct("batch", "place")).alias("one")).select("node", "one.*")
+    rows = _recounted(some.join(one, ["node", "batch", "place"], "left_semi"), False, percent)
+    edges = _verified(rows, checkpointed(_candidates(rows, percent, 2, 3, hot)), percent)
     while True:
-        known = components(edges).withColumnRenamed("component", "comp")
-        known = members.select("node", "batch", "place").join(known, "node").groupBy("batch").agg(F.collect_list(F.struct("place", "comp")).alias("known"))
-        tried = checkpointed(_contested(shared.join(known, "batch", "left"), parts))
-        # Parts as large as memory allows: what a document tries is limited for each part, and pairs meet in fewer of them.
-        held = tried.agg(F.sum(F.length("keys"))).first()[0] or 0
-        pairs = checkpointed(_candidates(tried, percent, tries, blocks, max(8, held // 8 * (GROUPS + 24) // PART_BYTES)))
+        known = components(edges).select("node", F.col("component").alias("label"))
+        labelled = rows.join(known, "node", "left").withColumn("comp", F.coalesce("label", "node"))
+        rows = _recounted(labelled, True, percent)
+        pairs = checkpointed(_candidates(rows, percent, tries, None, hot))
         n_pairs, cut = pairs.agg(F.count("*"), F.max("cut")).first()
         if n_pairs:
-            edges = checkpointed(edges.union(linked(pairs)))
+            edges = checkpointed(edges.union(_verified(rows, pairs, percent)))
         if not cut:
             return members, edges
         tries *= 16
@@ -694,11 +630,13 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     are null for empty sets.
     """
     table, edges = links(docs, key, text, n, percent, **settings)
-    found = components(edges).withColumnRenamed("component", "label")
-    rows = table.select("doc", "n_shingles", "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = rows.filter("label is not null").groupBy("label").agg(F.min("doc").alias("component_id"))
-    out = rows.join(smallest, "label", "left")
-    return out.select(F.col("doc").alias(key), "n_shingles", F.when(F.col("label").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"), "node", F.col("label").alias("component"))
+    # Both small sides are written first: so the joins' large sides are dealt out by themselves, and hot labels and sets split.
+    found = checkpointed(components(edges).select("node", F.col("component").alias("label")))
+    rows = table.filter("node is not null").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    smallest = checkpointed(rows.groupBy("label").agg(F.min("doc").alias("component_id")))
+    out = rows.join(smallest, "label").select(F.col("doc").alias(key), "n_shingles", "component_id", "node", F.col("label").alias("component"))
+    none = F.lit(None).cast("bigint")
+    return out.unionByName(table.filter("node is null").select(F.col("doc").alias(key), "n_shingles", F.col("doc").alias("component_id"), none.alias("node"), none.alias("component")))
 
 
 def with_nodes(docs: DataFrame, text: str = "text", n: int = 5) -> DataFrame:
