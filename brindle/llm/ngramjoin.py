@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,18 +92,22 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
 
 
-def _pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as the bytes of their differences, the highest of all first: those are zeros, which the shuffle compresses."""
+def _pack(keys: np.ndarray, places: np.ndarray) -> bytes:
+    """Sorted keys and their places, compressed: the bytes of the keys' differences and of the places, the highest of all first."""
+    if not len(keys):
+        return b""
     steps = np.diff(keys, prepend=np.uint64(0)).astype(">u8")
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(keys), -1).T).tobytes() for x in (steps, places.astype(">u2"))]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def _unpack(blob: bytes) -> np.ndarray:
-    steps = np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(">u8").ravel()
-    return np.cumsum(steps.astype(np.uint64), dtype=np.uint64)
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob) if blob else b"", np.uint8).reshape(10, -1)
+    steps, places = (np.ascontiguousarray(planes[i:j].T).view(t).ravel() for i, j, t in ((0, 8, ">u8"), (8, 10, ">u2")))
+    return np.cumsum(steps.astype(np.uint64), dtype=np.uint64), places.astype(np.int64)
 
 
-_DEALT = "part int, batch bigint, keys binary, places binary, comps binary, many binary, first int, counts binary, low binary, high binary, home binary"
+_DEALT = "part int, batch bigint, keys binary, comps binary, many binary, first int, counts binary, low binary, high binary, home binary"
 
 
 class _Gathered:
@@ -151,15 +156,15 @@ class _Gathered:
         high = np.maximum.reduceat(own[place[inside]], runs) if contested and len(many) else own[:0]
         bounds = np.arange(parts + 1)
         a, b = np.searchsorted(_part(lone_keys, parts), bounds), np.searchsorted(_part(many_keys, parts), bounds)
-        out: list[list] = [[] for _ in range(11)]
+        out: list[list] = [[] for _ in range(10)]
         for p in np.flatnonzero((a[1:] > a[:-1]) | (b[1:] > b[:-1])).tolist():
             i, j, k, m = int(a[p]), int(a[p + 1]), int(b[p]), int(b[p + 1])
-            row = (p, batch, _pack(lone_keys[i:j]), lone_places[i:j].tobytes(), own[lone_places[i:j]].tobytes() if contested else b"", _pack(many_keys[k:m]), k, several[k:m].astype(np.uint32).tobytes(), low[k:m].tobytes(), high[k:m].tobytes(), None)
+            row = (p, batch, _pack(lone_keys[i:j], lone_places[i:j]), own[lone_places[i:j]].tobytes() if contested else b"", _pack(many_keys[k:m], np.zeros(m - k)), k, several[k:m].astype(np.uint32).tobytes(), low[k:m].tobytes(), high[k:m].tobytes(), None)
             for column, x in zip(out, row, strict=True):
                 column.append(x)
-        for column, x in zip(out, (batch % parts, batch, b"", b"", b"", b"", 0, b"", b"", b"", home), strict=True):
+        for column, x in zip(out, (batch % parts, batch, b"", b"", b"", 0, b"", b"", b"", home), strict=True):
             column.append(x)
-        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.int32(), *[pa.binary()] * 4]
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 3, pa.int32(), *[pa.binary()] * 4]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=[c.split()[0] for c in _DEALT.split(", ")])
 
 
@@ -198,7 +203,7 @@ def _from_rows(parts: int, contested: bool):
 
 
 _NOT = 255
-_FOUND = "batch bigint, places binary, keys binary, classes binary, first int, many binary, home binary"
+_FOUND = "batch bigint, keys binary, classes binary, first int, many binary, home binary"
 
 
 def _find(contested: bool):
@@ -207,14 +212,15 @@ def _find(contested: bool):
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, homes = [], []
         for batch in batches:
-            for x in zip(*(batch.column(i).to_pylist() for i in range(1, 11)), strict=True):
-                if x[9] is not None:
-                    homes.append((x[0], None, None, None, 0, None, x[9]))
+            for x in zip(*(batch.column(i).to_pylist() for i in range(1, 10)), strict=True):
+                if x[8] is not None:
+                    homes.append((x[0], None, None, 0, None, x[8]))
                 else:
                     rows.append(x)
-        lone, many = [_unpack(x[1]) for x in rows], [_unpack(x[4]) for x in rows]
+        unpacked = [_unpack(x[1]) for x in rows]
+        lone, places, many = [x for x, _ in unpacked], [x for _, x in unpacked], [_unpack(x[3])[0] for x in rows]
         keys = np.concatenate([np.zeros(0, np.uint64), *lone, *many])
-        weight = np.concatenate([np.ones(sum(map(len, lone)), np.int64), *(np.frombuffer(x[6], np.uint32) for x in rows)]).astype(np.int64)
+        weight = np.concatenate([np.ones(sum(map(len, lone)), np.int64), *(np.frombuffer(x[5], np.uint32) for x in rows)]).astype(np.int64)
         order = np.argsort(keys)
         new = np.ones(len(keys), bool)
         new[1:] = keys[order][1:] != keys[order][:-1]
@@ -222,23 +228,23 @@ def _find(contested: bool):
         held = np.add.reduceat(weight[order], starts) if len(keys) else weight
         good = held > 1
         if contested and len(keys):
-            low = np.concatenate([np.frombuffer(x[i], np.int64) for i in (3, 7) for x in rows])
-            high = np.concatenate([np.frombuffer(x[i], np.int64) for i in (3, 8) for x in rows])
+            low = np.concatenate([np.frombuffer(x[i], np.int64) for i in (2, 6) for x in rows])
+            high = np.concatenate([np.frombuffer(x[i], np.int64) for i in (2, 7) for x in rows])
             good = np.minimum.reduceat(low[order], starts) != np.maximum.reduceat(high[order], starts)
         kind = np.where(good, np.floor(np.log2(np.maximum(held, 1))), _NOT).astype(np.uint8)
         classes = np.empty(len(keys), np.uint8)
         classes[order] = kind[np.cumsum(new) - 1]
         ends = np.cumsum([*map(len, lone), *map(len, many)])
         each = np.split(classes, ends[:-1]) if len(rows) else []
-        out: list[list] = [list(c) for c in zip(*homes, strict=True)] or [[] for _ in range(7)]
+        out: list[list] = [list(c) for c in zip(*homes, strict=True)] or [[] for _ in range(6)]
         for i, x in enumerate(rows):
             some = each[i] != _NOT
             if not some.any() and not len(many[i]):
                 continue
-            row = (x[0], np.frombuffer(x[2], np.uint16)[some].tobytes(), lone[i][some].tobytes(), each[i][some].tobytes(), x[5], each[len(rows) + i].tobytes(), None)
+            row = (x[0], _pack(lone[i][some], places[i][some]), each[i][some].tobytes(), x[4], each[len(rows) + i].tobytes(), None)
             for column, v in zip(out, row, strict=True):
                 column.append(v)
-        kinds = [pa.int64(), *[pa.binary()] * 3, pa.int32(), *[pa.binary()] * 2]
+        kinds = [pa.int64(), *[pa.binary()] * 2, pa.int32(), *[pa.binary()] * 2]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=[c.split()[0] for c in _FOUND.split(", ")])
 
     return run
@@ -253,19 +259,19 @@ def _assemble(percent: int):
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, home = [], None
         for batch in batches:
-            for x in zip(*(batch.column(i).to_pylist() for i in range(1, 7)), strict=True):
-                if x[5] is not None:
-                    home = pickle.loads(x[5])
+            for *x, own in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
+                if own is not None:
+                    home = pickle.loads(own)
                 else:
-                    found.append(x)
+                    found.append((*_unpack(x[0]), *x[1:]))
         docs, valid, nodes, comps, sizes, deals, many_keys, many_counts, many_places = home
         kinds = np.full(len(many_keys), _NOT, np.uint8)
         for x in found:
             kinds[x[3] : x[3] + len(x[4])] = np.frombuffer(x[4], np.uint8)
         some = kinds != _NOT
         flags = np.repeat(some, many_counts)
-        place = np.concatenate([*(np.frombuffer(x[0], np.uint16) for x in found), many_places[flags]]).astype(np.int64)
-        keys = np.concatenate([*(np.frombuffer(x[1], np.uint64) for x in found), np.repeat(many_keys[some], many_counts[some])])
+        place = np.concatenate([*(x[1] for x in found), many_places[flags]]).astype(np.int64)
+        keys = np.concatenate([*(x[0] for x in found), np.repeat(many_keys[some], many_counts[some])])
         kind = np.concatenate([*(np.frombuffer(x[2], np.uint8) for x in found), np.repeat(kinds[some], many_counts[some])])
         held = np.bincount(place, minlength=len(deals))
         good = (held > 0) & (100 * held >= percent * sizes[deals])
