@@ -300,6 +300,110 @@ def test_neighbours_of_many_distinct_ties(spark):
     assert [(r["vec_id"], r["score"]) for r in found] == [(i, 1.0) for i in range(1, 21)]
 
 
+def clustered(rng, n, centers=100, d=64, noise=0.35):
+    return rng.standard_normal((centers, d))[rng.integers(0, centers, n)] + noise * rng.standard_normal((n, d))
+
+
+def recall_and_share(v, every, **settings):
+    """Of one block: the share of the true 20 nearest that are found, and of the candidates that are verified."""
+    ids = np.arange(len(v))
+    asked = ids[::every]
+    method = ann.Projections(20, 32, 0.93, float((v**2).sum(1).max()), 7)
+    query, found, score, verified = method.local(asked, v[asked], np.full(len(asked), -np.inf), ids, v)
+    got, work = collections.defaultdict(set), {}
+    for q, x, s, n in zip(query.tolist(), found.tolist(), score.tolist(), verified.tolist(), strict=True):
+        got[q].add(x)
+        work[q] = n
+        assert abs(s - v[q] @ v[x]) < 1e-9
+    hits = 0
+    for q in asked.tolist():
+        s = v @ v[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    return hits / (20 * len(asked)), sum(work.values()) / (len(asked) * len(v))
+
+
+def test_neighbours_stop_early():
+    rng = np.random.default_rng(4)
+    recall, share = recall_and_share(clustered(rng, 12_000), 100)
+    assert recall >= 0.9 and share <= 0.05
+    v = rng.standard_normal((10_000, 64))
+    recall, share = recall_and_share(v / np.linalg.norm(v, axis=1)[:, None], 100)
+    assert recall >= 0.9 and share <= 0.4  # no contrast at all
+
+
+@pytest.mark.parametrize("search,k", [(ann.nearest, 20), (topk.top_k, 5)])
+def test_searches_over_many_cells(spark, search, k):
+    """Clusters, one of which holds a third of all rows as one vector: queries visit some cells, and results are whole."""
+    v = np.round(clustered(np.random.default_rng(5), 900, 12, 16), 2).astype(np.float32)
+    v[600:] = v[0]
+    found = search(vectors(spark, list(enumerate(v.tolist()))), candidate_block=40, query_block=4).collect()
+    got = collections.defaultdict(list)
+    for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    x = v.astype(float) if k == 20 else np.floor(v.astype(float) * 256)
+    hits = total = 0
+    for q in got:
+        scores = x @ x[q]
+        best = [j for j in np.lexsort((np.arange(900), -np.round(scores, 9))) if j != q][:k]
+        hits += len({j for j, _ in got[q]} & set(best))
+        total += k
+        assert k == 20 or got[q] == [(j, scores[j]) for j in best]
+    assert set(got) == set(range(0, 900, 20 if k == 20 else 50)) and hits / total >= 0.9
+
+
+def test_visits_follow_the_boxes():
+    """Queries in separate clusters don't visit each other's cells once they know their k-th best."""
+    from brindle.llm.vectors import Cells, Router
+
+    rng = np.random.default_rng(6)
+    v = clustered(rng, 4000, 8, noise=0.1)
+    method = ann.Projections(20, 32, 0.93, float((v**2).sum(1).max()), 7)
+    features = method.features(v)
+    cells = Cells(features, 16)
+    cell = cells.of(features)
+    assert cells.count == 16 and np.bincount(cell).max() < 800
+    rows = [{"d": 64, "cell": c, "n": int((cell == c).sum()), "low": features[cell == c].min(0), "high": features[cell == c].max(0)} for c in range(16)]
+    router = Router(rows, 100_000)
+    ids = np.arange(0, 4000, 20)
+    scores = np.sort(v[ids] @ v.T, axis=1)
+    q, _, _ = router.visits(method, 64, v[ids], ids, scores[:, -21])
+    assert len(q) < 0.5 * 15 * len(ids)
+    q, _, _ = router.visits(method, 64, v[ids], ids, np.full(len(ids), -np.inf))
+    assert len(q) == 15 * len(ids)
+
+
+@pytest.mark.parametrize("data,least", [("walks", 0.02), ("noise", 1.0)])
+def test_finer_levels_see_survivors_only(data, least):
+    rng = np.random.default_rng(2)
+    steps = rng.standard_normal((3000, 64))
+    v = np.floor(256 * (np.cumsum(steps, 1) / 8 if data == "walks" else steps))
+    ids = np.arange(3000)
+    (query, found, score, _), seen = topk.SegmentBounds(5).descend(ids[::50], v[::50], np.full(60, -np.inf), ids, v)
+    first = seen[:16]
+    assert (np.diff(first, axis=1) <= 0).all() and (first[:, 0] == 2999).all()
+    assert seen[:, -1].mean() <= least * 2999
+    for i, q in enumerate(ids[::50]):
+        s = v @ v[q]
+        s[q] = -np.inf
+        assert score[query == q].tolist() == np.sort(s)[::-1][:5].tolist()
+
+
+@pytest.mark.parametrize("search", [ann.nearest, topk.top_k])
+def test_searches_with_odd_rows(spark, search):
+    """Clashing columns, repeated ids and rows, vectors of different lengths."""
+    rows = [(i, [float(i % 7 + 1), 1.0, 2.0]) for i in range(60)] + [(0, [1.0, 1.0, 2.0]), (0, [9.0, 9.0, 9.0])] + [(100 + i, [1.0, float(i)]) for i in range(50)] + [(200, [5.0])] + ODD_VECTORS
+    frame = vectors(spark, rows)
+    for name in ("id", "v", "d", "n", "cell", "block", "part", "rank", "copy", "known", "score", "query_id", "low"):
+        frame = frame.withColumn(name, F.lit("clash"))
+    found = search(frame, candidate_block=16).collect()
+    by = collections.defaultdict(list)
+    for r in found:
+        by[r["query_id"]].append(r["vec_id"])
+    assert set(by) == ({0, 20, 40, 100, 120, 140} if search is ann.nearest else {0, 50, 100})
+    assert all((x < 60) == (q < 60) for q, found in by.items() for x in found) and all(len(set(x)) == len(x) for x in by.values())
+
+
 def test_chi_square():
     assert abs(ann.chi_square(np.array([15.987]), 10)[0] - 0.9) < 1e-3
 
