@@ -82,7 +82,6 @@ FASTIFY_CALLS = r"fastify\.(get|post|put|patch|delete|options|head|route)\s*\("
 NEXT_PROJECT = r"""\bnext\b|\buse client\b|\buse server\b|from\s+["']next"""
 REACT_PROJECT = r"""\bReact\b|\bjsx\b|\btsx\b|from\s+["']react["']|from\s+["']@mui|from\s+["']tailwindcss|from\s+["']next"""
 REACT_COMPONENTS = r"function\s+[A-Z][a-zA-Z0-9]*|class\s+[A-Z][a-zA-Z0-9]*\s+extends\s+React\.Component|const\s+[A-Z][a-zA-Z0-9]*\s*=\s*(?:\([^)]*\)\s*=>|<)"
-JSX_COMPONENT = r"(?:export\s+(?:default\s+)?|function\s+|const\s+\w+\s*=)\s*(?:React\.)?function|class\s+\w+|return\s*\(|<[A-Z]|jsx\s*\(|createElement\s*\("
 
 # Rules for single lines of fixture sources: (kind, pattern); a route's second group is its path.
 FIXTURE_RULES = (
@@ -98,5 +97,3 @@ FIXTURE_RULES = (
     ("import", r"""import\s+(?:\{[^}]+\}|[\w]+)\s+from\s+['"]([^'"]+)['"]"""),
     ("import", r"""require\s*\(\s*['"]([^'"]+)['"]\s*\)"""),
 )
-FIXTURE_FOLDERS = ("node_modules", ".git", "dist", "build", ".next")
-FIXTURE_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx")

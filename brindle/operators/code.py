@@ -14,24 +14,26 @@ from ..functions import exprs as E
 from ..functions import rules
 from .merge import first_wins
 
-#: A private-use character that marks matches; sources don't hold it.
+#: Marks matches; where a source holds it, it is taken out first: it is no character of any program.
 MARK = "\ue0f1"
 
 
 def matches(content: Column, pattern: str, groups: int = 1) -> Column:
     """Array of (line, all, g1 .. gn) of every match; groups that took no part are empty."""
-    parts = F.split(F.regexp_replace(content, pattern, MARK + "$0"), MARK)
-    breaks = F.transform(parts, lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))))
+    marked = F.regexp_replace(F.replace(content, F.lit(MARK), F.lit("")), pattern, MARK + "$0")
     inline = pattern.startswith("(?")
     flags = pattern[: pattern.index(")") + 1] if inline and pattern[2] in "im" and pattern[3] == ")" else ""
     anchored = flags + r"\A(?:" + pattern[len(flags) :] + ")"
+    marks = lambda t: F.length(t) - F.length(F.replace(t, F.lit(MARK), F.lit("")))
+    # A line's number as often as it holds a mark: linear in the text, however many matches there are.
+    lines = F.flatten(F.transform(F.split(marked, "\n"), lambda t, i: F.array_repeat(i + 1, marks(t))))
+    parts = F.split(marked, MARK)
+    parts = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
 
-    def found(p: Column, i: Column) -> Column:
-        line = F.aggregate(F.slice(breaks, F.lit(1), i), F.lit(1), lambda a, x: a + x)
+    def found(p: Column, line: Column) -> Column:
         return F.struct(line.alias("line"), F.regexp_extract(p, anchored, 0).alias("all"), *(F.regexp_extract(p, anchored, g).alias(f"g{g}") for g in range(1, groups + 1)))
 
-    each = F.transform(parts, found)
-    return F.slice(each, F.lit(2), F.greatest(F.size(each) - 1, F.lit(0)))
+    return F.zip_with(parts, lines, found)
 
 
 def _as_signals(found: Column, rule: int, kind: str, text, name=None, tags=(), confidence: float = 0.9, framework: str | None = None, route=None, keep=None) -> Column:

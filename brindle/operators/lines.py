@@ -88,24 +88,35 @@ def read_signals(evidence: DataFrame) -> DataFrame:
     text, file = F.col("text"), F.coalesce("file", F.lit("unknown file"))
     lang, about, no = F.col("language"), F.col("about"), F.col("line_no")
     where = F.concat(F.lit(" in "), file, F.lit(" at line "), no.cast("string"))
-    found = lines.withColumn("is_import", is_import(text)).withColumn("fn", function_name(text)).withColumn("cls", class_name(text)).withColumn("rt", route(text))
-    code = found.filter(~F.col("is_import"))
-    pos = no.cast("bigint") * 4
-    rt = F.concat_ws(" ", "rt.method", "rt.path")
-    parts = [
-        _signal(found.filter("is_import"), "import", text, E.tag_set(E.strings("import", lang), about), 0.85, pos, lang, F.col("file"), None, no),
-        _signal(code.filter("fn is not null"), "function", F.concat(F.lit("Function "), "fn", F.lit(" defined"), where), E.tag_set(E.strings("function", F.col("fn"), lang), about), 0.9, pos + 1, lang, F.col("file"), F.col("fn"), no),
-        _signal(code.filter("cls is not null"), "class", F.concat(F.lit("Class/type "), "cls", F.lit(" defined"), where), E.tag_set(E.strings("class", F.col("cls"), lang), about), 0.9, pos + 2, lang, F.col("file"), F.col("cls"), no),
-        _signal(code.filter("rt is not null"), "route", F.concat(F.lit("Route "), rt, where), E.tag_set(E.strings("route", F.col("rt.method"), F.col("rt.path"), lang), about), 0.95, pos + 3, lang, F.col("file"), rt, no),
-    ]
-    reads = lines.select("id", "session_id", "created_at", "file", "language", "about").filter("file <> ''").distinct()
-    parts.append(_signal(reads, "file_read", F.concat(F.lit("Read file "), "file"), E.tag_set(E.strings("file", "read", lang), about), 1.0, 0, lang, F.col("file")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    marked = F.struct(is_import(text).alias("is_import"), function_name(text).alias("fn"), class_name(text).alias("cls"), route(text).alias("rt"))
+    found = lines.withColumn("m", marked).withColumn("file_named", F.col("file") != "")
+    m, pos = found["m"], no.cast("bigint") * 4
+    rt = F.concat_ws(" ", m["rt"]["method"], m["rt"]["path"])
+    line = lambda kind, said, tags, sure, place, name: _entry(kind, said, E.tag_set(tags, about), sure, place, name, no)
+    code = ~m["is_import"]
+    entries = F.array_compact(
+        F.array(
+            F.when(m["is_import"], line("import", text, E.strings("import", lang), 0.85, pos, None)),
+            F.when(code & m["fn"].isNotNull(), line("function", F.concat(F.lit("Function "), m["fn"], F.lit(" defined"), where), E.strings("function", m["fn"], lang), 0.9, pos + 1, m["fn"])),
+            F.when(code & m["cls"].isNotNull(), line("class", F.concat(F.lit("Class/type "), m["cls"], F.lit(" defined"), where), E.strings("class", m["cls"], lang), 0.9, pos + 2, m["cls"])),
+            F.when(code & m["rt"].isNotNull(), line("route", F.concat(F.lit("Route "), rt, where), E.strings("route", m["rt"]["method"], m["rt"]["path"], lang), 0.95, pos + 3, rt)),
+            # Every line says that its file was read; of these the first stays.
+            F.when(F.col("file_named"), _entry("file_read", F.concat(F.lit("Read file "), F.col("file")), E.tag_set(E.strings("file", "read", lang), about), 1.0, F.lit(0).cast("bigint"), None, None)),
+        )
+    )
+    rows = found.select("id", "session_id", "created_at", "file", "language", F.explode(entries).alias("s")).select("id", "session_id", "created_at", "file", "language", "s.*")
+    out = _signal(rows, F.col("kind"), F.col("text"), F.col("tags"), F.col("confidence"), F.col("emit_pos"), F.col("language"), F.col("file"), F.col("name"), F.col("line_start"))
     return first_wins(out, ["evidence_id", E.line_key().alias("k")], ["emit_pos"])
 
 
+def _entry(kind: str, text: Column, tags: Column, confidence: float, pos: Column, name: Column | None, line: Column | None) -> Column:
+    none = F.lit(None)
+    return F.struct(
+        F.lit(kind).alias("kind"), text.alias("text"), tags.alias("tags"), F.lit(confidence).alias("confidence"), pos.alias("emit_pos"),
+        (none if name is None else name).cast("string").alias("name"), (none if line is None else line).cast("int").alias("line_start"),
+    )
+
+
 def grep_signals(evidence: DataFrame) -> DataFrame:
     """search_match signals: a header line sets the file for the `Line n:` lines after it."""
     each = evidence.filter("tool = 'grep'").select("id", "session_id", "created_at", F.posexplode(F.split("output", "\n")).alias("pos", "line"))

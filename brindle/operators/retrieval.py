@@ -3,7 +3,8 @@
 The index is a relation of postings (field, term, id, tf) with field lengths beside it; it can be written once and
 queried by joins.  Queries are a relation too: any number are answered by one plan.  Query terms are joined to the
 distinct vocabulary first (by equality, by a common beginning, and by bounded edit distance between terms of about the
-same length and a common bucket), so postings are read only for terms that count.
+same length and a common letter), and postings and their frequencies are read only for terms that count.  `IndexStore` keeps
+an index on disk and changes it by document.
 """
 
 from __future__ import annotations
@@ -40,6 +41,68 @@ class Index:
         return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "fields", "total")))
 
 
+class IndexStore:
+    """An index on disk that is changed by document: postings and lengths are stores, the few totals follow from them."""
+
+    def __init__(self, spark, root: str, settings: Bm25 = Bm25()):
+        from ..sources.files import Store
+
+        self.settings = settings
+        self.postings = Store(spark, f"{root}/postings", "field string, term string, id string, tf bigint")
+        self.lengths = Store(spark, f"{root}/lengths", "field string, id string, len bigint")
+
+    def add(self, documents: DataFrame, key: str = "id") -> None:
+        """Index further documents.  Ids that are there already have to be removed first."""
+        fresh = build_index(documents, key, self.settings)
+        self.postings.append(fresh.postings.select("field", "term", F.col("id").cast("string").alias("id"), "tf").repartitionByRange("term").sortWithinPartitions("term"))
+        self.lengths.append(fresh.lengths.select("field", F.col("id").cast("string").alias("id"), "len"))
+
+    def remove(self, ids: DataFrame) -> None:
+        """Forget the documents with these (id)."""
+        for store, order in ((self.postings, "term"), (self.lengths, "id")):
+            kept = store.read().join(ids.select(F.col("id").cast("string").alias("id")).distinct(), "id", "left_anti")
+            store.write(kept.select(*store.read().columns).sortWithinPartitions(order))
+
+    def clear(self) -> None:
+        self.postings.clear()
+        self.lengths.clear()
+
+    def read(self) -> Index:
+        lengths = self.lengths.read()
+        boost = F.element_at(F.create_map(*(F.lit(x) for f, b in self.settings.boosts for x in (f, float(b)))), F.col("field"))
+        fields = lengths.groupBy("field").agg((F.sum("len") / F.count("*")).alias("avg_len")).withColumn("boost", boost)
+        return Index(self.postings.read(), lengths, fields, lengths.agg(F.count_distinct("id").alias("n")))
+
+    def stats(self) -> DataFrame:
+        """(document_count, indexed_fields)."""
+        return self.lengths.read().agg(F.count_distinct("id").alias("document_count")).withColumn("indexed_fields", F.array(*(F.lit(f) for f, _ in self.settings.boosts)))
+
+
+class VectorStore:
+    """Vectors by id on disk: upsert, remove, clear, and semantic search where `enabled`; else it finds nothing."""
+
+    def __init__(self, spark, root: str, enabled: bool = True):
+        from ..sources.files import Store
+
+        self.enabled = enabled
+        self.vectors = Store(spark, f"{root}/vectors", "id string, v array<double>")
+
+    def upsert(self, rows: DataFrame) -> None:
+        new = rows.select(F.col("id").cast("string").alias("id"), F.col("v").cast("array<double>").alias("v"))
+        self.vectors.write(self.vectors.read().join(new.select("id"), "id", "left_anti").unionByName(first_wins(new, ["id"], ["v"])))
+
+    def remove(self, ids: DataFrame) -> None:
+        self.vectors.write(self.vectors.read().join(ids.select(F.col("id").cast("string").alias("id")), "id", "left_anti"))
+
+    def clear(self) -> int:
+        return self.vectors.clear()
+
+    def search(self, queries: DataFrame, k: int = 10, least: float | None = None) -> DataFrame:
+        """(qid, id, score, rank) of a bounded set of (qid, qv)."""
+        rows = self.vectors.read()
+        return cosine_top_k(queries, rows if self.enabled else rows.limit(0), k, least)
+
+
 def _field_text(name: str, kind: str) -> Column:
     return F.array_join(name, ",") if kind.startswith("array") else F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -67,8 +130,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def matching_terms(index: Index, terms: DataFrame, prefix: bool = True, fuzzy: bool = True, settings: Bm25 = Bm25()) -> DataFrame:
     """(qterm, term, weight): the vocabulary's terms for each query term, with the best of their weights.
 
-    Fuzzy candidates agree in one of distance + 1 pieces (here: length within the distance), found by
-    joining on length, so the vocabulary isn't paired with all query terms.
+    The vocabulary is small beside the postings, and query terms are few: they are sent to the vocabulary's tasks where Spark
+    finds them small, else joined by first letter (prefixes) and by length (fuzzy terms differ by the distance at most).
     """
     vocabulary = index.postings.select("term").distinct().withColumn("size", F.length("term"))
     asked = terms.select("qterm").distinct().withColumn("qsize", F.length("qterm")).withColumn("far", E.half_up(F.length("qterm") * settings.fuzzy).cast("int"))
@@ -92,9 +155,10 @@ def bm25(index: Index, queries: DataFrame, prefix: bool = True, fuzzy: bool = Tr
     """(qid, id, score, matched): BM25+ over all fields, summed over terms, times the number of query terms matched."""
     terms = query_terms(queries)
     found = matching_terms(index, terms, prefix, fuzzy, settings)
-    hits = index.postings.join(found, "term").join(terms.select("qid", "qterm"), "qterm")
-    frequency = index.postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-    hits = hits.join(frequency, ["field", "term"]).join(index.lengths, ["field", "id"]).join(F.broadcast(index.fields), "field").crossJoin(F.broadcast(index.total))
+    wanted = index.postings.join(found.select("term").distinct(), "term", "left_semi")
+    frequency = wanted.groupBy("field", "term").agg(F.count("*").alias("df"))
+    hits = wanted.join(frequency, ["field", "term"]).join(found, "term").join(terms.select("qid", "qterm"), "qterm")
+    hits = hits.join(index.lengths, ["field", "id"]).join(F.broadcast(index.fields), "field").crossJoin(F.broadcast(index.total))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = settings.k * (1 - settings.b + settings.b * F.col("len") / F.col("avg_len"))
     score = F.col("weight") * F.col("boost") * idf * (settings.d + F.col("tf") * (settings.k + 1) / (F.col("tf") + norm))
@@ -132,17 +196,23 @@ def structural_score(query: Column, w: Scoring = Scoring(), name="name", route="
     return out + F.when(given(E.col(text)), total(lambda x: F.when(has(t, x), w.text * 0.3).otherwise(0.0))).otherwise(0.0)
 
 
-def score_and_sort(signals: DataFrame, queries: DataFrame, w: Scoring = Scoring(), tie: str = "id", **columns) -> DataFrame:
-    """All (qid, signal) with a structural score of min_score or more, ranked.  The queries are sent to the signals' tasks."""
+def score_and_sort(signals: DataFrame, queries: DataFrame, w: Scoring = Scoring(), tie: str = "id", limit: int | None = None, **columns) -> DataFrame:
+    """All (qid, signal) with a structural score of min_score or more, ranked; with a limit the best of them, which are ranked
+    before the shuffle too.  The queries are a bounded set that is sent to the signals' tasks."""
     scored = signals.crossJoin(queries).withColumn("score", structural_score(F.col("query"), w, **columns)).filter(F.col("score") >= w.min_score)
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col(tie).asc())))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col(tie).asc())))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def normalised(rows: DataFrame, by: str = "qid", score: str = "score", floor: float | None = 0.001) -> DataFrame:
-    """Scores divided by the query's largest, to 2 places; without a floor nothing changes where the largest is 0."""
-    most = F.max(score).over(Window.partitionBy(by))
-    divided = E.decimals(F.col(score) / (F.greatest(most, F.lit(floor)) if floor else most))
-    return rows.withColumn(score, divided if floor else F.when(most == 0, F.col(score)).otherwise(divided))
+    """Scores divided by the query's largest, to 2 places; without a floor nothing changes where the largest is 0.
+
+    The largest is aggregated and joined back, one row a query, so one query's rows needn't meet in one task.
+    """
+    most = rows.groupBy(F.col(by).alias("_by")).agg(F.max(score).alias("_most"))
+    joined = rows.join(most, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+    divided = E.decimals(F.col(score) / (F.greatest(F.col("_most"), F.lit(floor)) if floor else F.col("_most")))
+    return joined.withColumn(score, divided if floor else F.when(F.col("_most") == 0, F.col(score)).otherwise(divided)).drop("_most")
 
 
 def post_filter(rows: DataFrame, kind: str | None = None, framework: str | None = None, file: str | None = None) -> DataFrame:
@@ -156,11 +226,12 @@ def post_filter(rows: DataFrame, kind: str | None = None, framework: str | None
     return rows
 
 
-def hybrid_search(signals: DataFrame, queries: DataFrame, settings: Search = Search(), kind: str | None = None, framework: str | None = None, file: str | None = None, candidate_mode: str = "pre", resort: bool = True, index: Index | None = None, key: str = "id", prefix: bool = True, fuzzy: bool = True, weights: Bm25 = Bm25()) -> DataFrame:
+def hybrid_search(signals: DataFrame, queries: DataFrame, settings: Search = Search(), kind: str | None = None, framework: str | None = None, file: str | None = None, candidate_mode: str = "pre", resort: bool = True, index: Index | None = None, key: str = "id", prefix: bool = True, fuzzy: bool = True, weights: Bm25 = Bm25(), dedup: str = "before") -> DataFrame:
     """(qid, rank, score, signal columns): candidates by the index, rescored with the structural score, best first.
 
     candidate_mode "pre" filters before the candidates are cut to candidate_factor * limit, "post" after, which can
-    leave too few.  resort=False keeps the index's order.  Equal results (five-part key) show once.
+    leave too few.  resort=False keeps the index's order.  Equal results (five-part key) show once: with dedup "before" the
+    limit counts different results, with "after" equal ones use it up.  See search_as_reference for the other defaults.
     """
     rows = signals.filter(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
     index = index or build_index(rows, key, weights)
@@ -174,8 +245,17 @@ def hybrid_search(signals: DataFrame, queries: DataFrame, settings: Search = Sea
     combined = E.decimals(settings.bm25_weight * F.col("bm25") + settings.scoring_weight * structural_score(F.col("query"), route="route" if "route" in signals.columns else None))
     found = normalised(found.withColumn("score", combined)).filter(F.col("score") >= settings.min_score)
     order = [F.col("score").desc(), F.col("bm25_rank").asc()] if resort else [F.col("bm25_rank").asc()]
+    ranked = lambda rows: rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
+    if dedup == "after":
+        found = ranked(found).filter(F.col("rank") <= settings.limit)
     once = first_wins(found, ["qid", E.line_key().alias("k")], order)
-    return once.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).filter(F.col("rank") <= settings.limit).drop("query")
+    return ranked(once).filter(F.col("rank") <= settings.limit).drop("query")
+
+
+def search_as_reference(signals: DataFrame, queries: DataFrame, settings: Search = Search(), **options) -> DataFrame:
+    """hybrid_search in the index's order, with filters after the cut, and equal results counted by the limit; files with forward slashes."""
+    found = hybrid_search(signals, queries, settings, **({"candidate_mode": "post", "resort": False, "dedup": "after"} | options))
+    return found.withColumn("file", E.slashes("file"))
 
 
 def cosine(a: Column, b: Column) -> Column:

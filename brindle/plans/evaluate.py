@@ -173,12 +173,16 @@ def top1_accuracy(queries: DataFrame, results: DataFrame) -> DataFrame:
     return queries.join(first, "id", "left").select("id", parts.alias("correct"))
 
 
+def _noise(seed: int, what: str) -> Column:
+    """A number in [0, 1) that follows from the seed, what it is for, and the query's id."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{what}:"), "id")), 1, 8), 16, 10).cast("bigint") % 1000 / 1000.0
+
+
 def simulated_baseline(queries: DataFrame, total_files: int, total_chars: int, seed: int = 0) -> DataFrame:
     """Reading with noise, as the simulated mode has it; the noise is seeded, so reruns agree."""
-    noise = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.lit(i), F.col("id")), F.lit(1000)) / 1000.0
-    reads = (F.lit(2) + F.floor(noise(0) * 4)).cast("bigint")
-    chars = E.half_up(reads * (total_chars / max(total_files, 1)) * (0.8 + 0.4 * noise(1)))
-    return queries.select("id", (reads + 1).alias("tool_calls"), reads.alias("full_reads"), chars.alias("chars_read"), E.token_estimate(chars).alias("tokens"), E.decimals(1.0 + noise(2)).alias("correctness"))
+    reads = (F.lit(2) + F.floor(_noise(seed, "reads") * 4)).cast("bigint")
+    chars = E.half_up(reads * (total_chars / max(total_files, 1)) * (0.8 + 0.4 * _noise(seed, "size")))
+    return queries.select("id", (reads + 1).alias("tool_calls"), reads.alias("full_reads"), chars.alias("chars_read"), E.token_estimate(chars).alias("tokens"), E.decimals(1.0 + _noise(seed, "grade")).alias("correctness"))
 
 
 def totals(results: DataFrame) -> DataFrame:
@@ -232,12 +236,62 @@ def report_markdown(title: str, metrics: DataFrame) -> str:
     return "\n".join([*lines, "", "Verdict: " + ("FAILED: " + ", ".join(missed) if missed else "PASSED")])
 
 
-def benchmark_suite(queries: DataFrame, signals: DataFrame, files: DataFrame) -> tuple[DataFrame, str]:
-    """Baseline, signals, metrics and the report for one tree."""
-    baseline, found = agent_baseline(queries, files), signal_benchmark(queries, signals)
-    raw = files.agg(F.sum(F.length("content"))).first()[0] or 0
-    metrics = comparison(baseline, found, F.lit(raw), F.lit(signals.count()))
-    return metrics, report_markdown("Comparison", metrics)
+# What a report advises where a metric is missed.
+ADVICE = {
+    "storage_reduction": "shorten signal texts or leave out kinds that no query asks for",
+    "query_context": "return fewer or shorter results a query",
+    "tool_calls": "answer from one search instead of several reads",
+    "accuracy": "look at the queries with correctness 0 and the kinds they expect",
+    "top3_hit_rate": "raise the weight of names and routes, or add tags",
+    "break_even": "index less often, or only what changed",
+}
+
+
+def recommendations(metrics: DataFrame) -> DataFrame:
+    """(metric, advice) of the metrics that are missed."""
+    known = F.create_map(*(F.lit(x) for pair in ADVICE.items() for x in pair))
+    return metrics.filter("not success").select("metric", F.coalesce(F.element_at(known, F.col("metric")), F.lit("look at the queries behind it")).alias("advice"))
+
+
+def simulated_signals(queries: DataFrame, seed: int = 0) -> DataFrame:
+    """Searching with noise, as the simulated mode has it: one call, a few hundred characters, correctness 2 or 3; seeded."""
+    chars = E.half_up(200 + 400 * _noise(seed, "chars"))
+    return queries.select("id", (F.lit(1) + F.floor(_noise(seed, "found") * 3)).cast("bigint").alias("count"), chars.alias("chars_read"), E.token_estimate(chars).alias("tokens"), E.decimals(2.0 + _noise(seed, "match")).alias("correctness"))
+
+
+def benchmark_suite(queries: DataFrame, signals: DataFrame, files: DataFrame, mode: str = "agent") -> tuple[DataFrame, str]:
+    """Baseline, signals, metrics and the report for one tree; mode: agent, real or simulated."""
+    size = files.agg(F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("chars"), F.count("*").alias("files")).first()
+    if mode == "simulated":
+        baseline, found = simulated_baseline(queries, size["files"], size["chars"]), simulated_signals(queries)
+    elif mode == "real":
+        baseline, found = real_baseline(queries, files), real_signals(queries, signals)
+    else:
+        baseline, found = agent_baseline(queries, files), signal_benchmark(queries, signals)
+    metrics = comparison(baseline, found, F.lit(size["chars"]), F.lit(signals.count()))
+    advice = [f"- {r['metric']}: {r['advice']}" for r in recommendations(metrics).collect()]
+    return metrics, "\n".join([report_markdown("Comparison", metrics), *(["", "Recommendations:", *advice] if advice else [])])
+
+
+def navigation_benchmark(spark: SparkSession, search, name: str = "navigation") -> DataFrame:
+    """(id, correct) of a fixed query set; search answers (qid, query) with (qid, rank, kind, route, file)."""
+    queries = query_set(spark, name)
+    return top1_accuracy(queries, search(queries.select(F.col("id").alias("qid"), "query")))
+
+
+def load_result(spark: SparkSession, path: str) -> DataFrame:
+    """Metrics that were saved as JSON."""
+    from ..sources.files import read_json
+
+    return read_json(spark, path, "metric string, baseline double, signals double, reduction double, success boolean")
 
 
-detailed_metrics = stats.counts_by
+def detailed_metrics(rows: DataFrame, dimensions: tuple[str, ...], score: str | None = None) -> DataFrame:
+    """(dimension, value, n[, avg_score]) of results; the mean of a score to 2 places where there is one."""
+    if score is None:
+        return stats.counts_by(rows, dimensions)
+    one = lambda d: rows.filter(F.col(d).isNotNull()).groupBy(F.col(d).alias("value")).agg(F.count("*").alias("n"), E.decimals(F.avg(score)).alias("avg_score")).withColumn("dimension", F.lit(d))
+    out = one(dimensions[0])
+    for d in dimensions[1:]:
+        out = out.unionByName(one(d))
+    return out.select("dimension", "value", "n", "avg_score")

@@ -7,6 +7,7 @@ SQL.  Where an extractor is checked, the SQL derives the expected signals from t
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -168,17 +169,14 @@ def _(spark, sf):
     return retrieval.post_filter(sig(spark, sf), kind="class", file="BRAND-1").select("id")
 
 
-def _kind_sql() -> str:
-    from .schema import KINDS
-
-    return "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{d}')" for k, d in KINDS.items()) + ") k(kind, description)"
-
-
-@query("kind_catalog", _kind_sql())
+@query(
+    "kind_catalog",
+    """SELECT * FROM (VALUES (0, 'file'), (1, 'import'), (2, 'export'), (3, 'function'), (4, 'class'), (5, 'interface'), (6, 'type'), (7, 'component'), (8, 'route'), (9, 'middleware'), (10, 'symbol'), (11, 'diagnostic')) k(position, kind)""",
+)
 def _(spark, sf):
     from .schema import KINDS
 
-    return spark.createDataFrame(list(KINDS.items()), "kind string, description string")
+    return spark.createDataFrame([(i, k) for i, k in enumerate(KINDS)], "position int, kind string")
 
 
 _LANG = "CASE regexp_extract(path, '(\\.[^./]*)$', 1) WHEN '.ts' THEN '{}' WHEN '.py' THEN '{}' WHEN '.html' THEN '{}' ELSE '{}' END"
@@ -297,10 +295,17 @@ def _(spark, sf):
     return merge.merge_counts(rows.filter("key % 3 = 0"), rows, E.signal_key())
 
 
-@query("union_extractors", "SELECT key, 'function' AS kind, fn AS name FROM src UNION ALL SELECT key, 'class', cls FROM src")
+@query(
+    "union_extractors",
+    """SELECT file, 'function' AS kind, fn AS name, 3 AS line_start FROM src UNION ALL SELECT file, 'function', arrow, 7 FROM src UNION ALL SELECT file, 'class', cls, 9 FROM src
+UNION ALL SELECT file, 'route', upper(verb) || ' ' || path, 16 FROM src""",
+)
 def _(spark, sf):
-    rows = src(spark, sf)
-    return rows.select("key", F.lit("function").alias("kind"), F.col("fn").alias("name")).unionByName(rows.select("key", F.lit("class").alias("kind"), F.col("cls").alias("name")))
+    """Declarations by structure and routes by pattern, as one relation."""
+    files = src(spark, sf).select("file", "content")
+    columns = ["file", "kind", "name", "line_start"]
+    declared = syntax.structural_signals(files, routes=False).filter("kind in ('function', 'class')").select(*columns)
+    return declared.unionByName(code.express_routes(files).select(*columns))
 
 
 # ---- statistics
@@ -596,6 +601,125 @@ def _(spark, sf):
     return syntax.structural_signals(src(spark, sf).select("file", "content")).select("file", "kind", "name", "line_start", "confidence")
 
 
+def wide(spark, sf, template: str, file: str) -> DataFrame:
+    """(file, content) with {fn}, {cls}, {module}, {path} and {key} filled in."""
+    rows = src(spark, sf)
+    names = ("fn", "cls", "shape", "module", "path", "key")
+
+    def filled(text: str):
+        parts = re.split(r"\{(" + "|".join(names) + r")\}", text)
+        return F.concat(*(F.col(x).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)))
+
+    return rows.select(filled(file).alias("file"), filled(template).alias("content"))
+
+
+_DECLARED = """import fs = require('{module}')
+export { {fn} as alias } from './{module}'
+export * from './{module}'
+export * as space from './{module}'
+export enum Color{key} { A, B }
+export type Alias{key} = string
+namespace Space{key} {
+}
+const expr{key} = function (a) { return a }
+@Tagged('x')
+export class {cls} extends Base implements {shape} {
+  static readonly limit = 3
+  size: number = 1
+  async load(a) {
+    return a
+  }
+  get total() { return 1 }
+  set total(v) { }
+}
+const holder = {
+  run(a) { return a },
+}
+export default holder
+fastify.get('{path}', {fn})
+fastify.route({ method: 'POST', url: '{path}', handler: {fn} })
+"""
+
+
+def _rows_sql(file: str, rows: list[tuple[str, str, str, int, str]]) -> str:
+    """One SELECT for each expected signal: kind, name and text as SQL, line, framework."""
+    return " UNION ALL ".join(f"SELECT {file} AS file, '{k}' AS kind, {n} AS name, {t} AS text, {line} AS line_start, {f} AS framework FROM src" for k, n, t, line, f in rows)
+
+
+_NONE, _SHOWN = "CAST(NULL AS VARCHAR)", ("file", "kind", "name", "text", "line_start", "framework")
+
+
+@query(
+    "ast_declarations",
+    _rows_sql(
+        "'src/w' || key || '.ts'",
+        [
+            ("import", "'fs'", "'import fs = require(''' || module || ''')'", 1, _NONE),
+            ("export", _NONE, "'export { alias } from ''./' || module || chr(39)", 2, _NONE),
+            ("export", _NONE, "'export * from ''./' || module || chr(39)", 3, _NONE),
+            ("export", _NONE, "'export * from ''./' || module || chr(39)", 4, _NONE),
+            ("export", "'space'", "'export namespace space'", 4, _NONE),
+            ("class", "'Color' || key", "'enum Color' || key", 5, _NONE),
+            ("type", "'Alias' || key", "'type Alias' || key || ' = ...'", 6, _NONE),
+            ("class", "'Space' || key", "'namespace Space' || key", 7, _NONE),
+            ("function", "'expr' || key", "'const expr' || key || ' = function(...) { ... }'", 9, _NONE),
+            ("function", "'Tagged'", "'@Tagged(...)'", 10, _NONE),
+            ("class", "cls", "'class ' || cls || ' extends Base, ' || shape", 11, _NONE),
+            ("class", "'limit'", "'readonly static limit'", 12, _NONE),
+            ("class", "'size'", "'size'", 13, _NONE),
+            ("function", "'load'", "'async load(...)'", 14, _NONE),
+            ("function", "'total'", "'get total'", 17, _NONE),
+            ("function", "'total'", "'set total'", 18, _NONE),
+            ("function", "'run'", "'run(...)'", 21, _NONE),
+            ("export", _NONE, "'export default holder'", 23, _NONE),
+            ("route", "'GET ' || path", "'GET ' || path", 24, "'fastify'"),
+            ("route", "'POST ' || path", "'POST ' || path", 25, "'fastify'"),
+        ],
+    ),
+)
+def _(spark, sf):
+    return syntax.structural_signals(wide(spark, sf, _DECLARED, "src/w{key}.ts")).select(*_SHOWN)
+
+
+@query(
+    "ast_assignments",
+    _rows_sql("'src/e' || key || '.ts'", [("export", "fn", "'export = ' || fn", 1, _NONE)]) + " UNION ALL " + _rows_sql("'src/s' || key || '.js'", [("function", "fn", "fn || ': function(...) { ... }'", 2, _NONE)]),
+)
+def _(spark, sf):
+    """export = in TypeScript, and members that are functions in JavaScript."""
+    files = wide(spark, sf, "export = {fn}\n", "src/e{key}.ts").unionByName(wide(spark, sf, "const holder = {\n  {fn}: function (b) { }\n}\n", "src/s{key}.js"))
+    return syntax.structural_signals(files).select(*_SHOWN)
+
+
+@query(
+    "ast_next_routes",
+    _rows_sql("'web/app/api/p' || key || '/[id]/route.ts'", [("function", "'GET'", "'async function GET(...)'", 1, _NONE), ("route", "'GET /api/p' || key || '/id'", "'GET /api/p' || key || '/id'", 1, "'nextjs'")])
+    + " UNION ALL "
+    + _rows_sql("'web/pages/api/p' || key || '/[id].ts'", [("function", "'PUT'", "'async function PUT(...)'", 1, _NONE), ("route", "'PUT /api/p' || key || '/:id'", "'PUT /api/p' || key || '/:id'", 1, "'nextjs'")]),
+)
+def _(spark, sf):
+    app = wide(spark, sf, "export async function GET(request) {\n}\n", "web/app/api/p{key}/[id]/route.ts")
+    pages = wide(spark, sf, "export async function PUT(request) {\n}\n", "web/pages/api/p{key}/[id].ts")
+    return syntax.structural_signals(app.unionByName(pages)).filter("kind <> 'component'").select(*_SHOWN)
+
+
+@query(
+    "ast_components",
+    _rows_sql(
+        "'src/v' || key || '.tsx'",
+        [
+            ("component", "cls", "'function ' || cls || '(...)'", 2, "'react'"),
+            ("component", "'Wide' || key", "'const Wide' || key || ' = (...) => ...'", 5, "'react'"),
+            ("component", "'Old' || key", "'class Old' || key || ' extends React.Component(...)'", 6, "'react'"),
+            ("component", "'Fun' || key", "'const Fun' || key || ' = function(...) { ... }'", 8, "'react'"),
+        ],
+    ),
+)
+def _(spark, sf):
+    files = wide(spark, sf, "import React from 'react'\nexport function {cls}(props) {\n  return null\n}\nconst Wide{key} = () => null\nclass Old{key} extends React.Component {\n}\nconst Fun{key} = function (p) { return null }\n", "src/v{key}.tsx")
+    return syntax.structural_signals(files).filter("kind = 'component'").select(*_SHOWN)
+
+
 # ---- retrieval
 
 
@@ -728,16 +852,55 @@ def _(spark, sf):
     return found.select("id", "score", "rank")
 
 
-@query("hybrid_search")
+_FIELDS_ALL = _FIELDS.replace(
+    "UNION ALL SELECT id, 'kind', kind FROM sig)",
+    "UNION ALL SELECT id, 'kind', kind FROM sig UNION ALL SELECT id, 'file', file FROM sig UNION ALL SELECT id, 'language', language FROM sig UNION ALL SELECT id, 'tags', concat_ws(',', kind, p_brand, 'size' || p_size) FROM sig)",
+)
+_ANY_MATCH = f"""{_VOCAB}, ma AS (SELECT qid, qterm, term, CASE WHEN term = qterm THEN 1.0::DOUBLE WHEN starts_with(term, qterm) THEN 0.375::DOUBLE * length(term) / (length(term) + 0.3::DOUBLE * (length(term) - length(qterm)))
+  ELSE 0.45::DOUBLE * length(term) / (length(term) + levenshtein(term, qterm)) END AS weight FROM q JOIN vo ON starts_with(term, qterm) OR levenshtein(term, qterm) BETWEEN 1 AND floor(length(qterm) * 0.15 + 0.5))"""
+
+
+def _hybrid_sql(queries: list[tuple[str, str]], columns: str, pre: str = "TRUE", post: str = "TRUE", as_reference: bool = False, limit: int = 8) -> str:
+    """Ranked search over all fields with exact, prefix and fuzzy terms."""
+    asked = ", ".join(f"('{i}', '{x}')" for i, x in queries)
+    terms = rf"q AS (SELECT DISTINCT qid, unnest(list_filter(regexp_split_to_array(lower(t), '[\n\r\p{{Z}}\p{{P}}]+'), lambda x: x <> '')) AS qterm FROM (VALUES {asked}) v(qid, t))"
+    scored = _BM25.replace(_FIELDS, _FIELDS_ALL).replace(_ASKED, terms).replace("{match}", _ANY_MATCH)
+    scored = scored.replace("CASE po.field WHEN 'name' THEN 4 WHEN 'kind' THEN 2 ELSE 1 END", "CASE po.field WHEN 'name' THEN 4 WHEN 'tags' THEN 3 WHEN 'kind' THEN 2 WHEN 'file' THEN 2 ELSE 1 END")
+    scored = scored.replace("floor(sum(s) * count(DISTINCT qterm) * 1000 + 0.5) / 1000 AS score", "sum(s) * count(DISTINCT qterm) AS score")
+    structural = "CASE qid " + " ".join(f"WHEN '{i}' THEN {_structural_sql(x.lower())}" for i, x in queries) + " END"
+    order = "br" if as_reference else "score DESC, br"
+    return f"""WITH {scored}, tc AS (SELECT qid, sc.id, floor(score * 100 + 0.5) / 100 AS b, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sc.id) AS br FROM sc JOIN sig USING (id) WHERE {pre} QUALIFY br <= {3 * limit}),
+co AS (SELECT qid, tc.id, br, floor((0.7::DOUBLE * b + 0.3::DOUBLE * ({structural})) * 100 + 0.5) / 100 AS s FROM tc JOIN sig USING (id) WHERE {post}),
+no AS (SELECT qid, id, br, floor(s / greatest(max(s) OVER (PARTITION BY qid), 0.001) * 100 + 0.5) / 100 AS score FROM co),
+li AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {order}) AS place FROM no WHERE score >= 0.05 {f"QUALIFY place <= {limit}" if as_reference else ""}),
+on_ AS (SELECT li.*, s.kind, s.name, s.file, s.method, row_number() OVER (PARTITION BY qid, s.kind, s.file, s.name, s.line_start, s.text ORDER BY {order}) AS rn FROM li JOIN sig s USING (id)),
+hy AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY {order}) AS INT) AS rank FROM on_ WHERE rn = 1 QUALIFY rank <= {limit})
+SELECT {columns} FROM hy"""
+
+
+_TWO = [("q1", "red bolt route"), ("q2", "small ring class")]
+
+
+@query("hybrid_search", _hybrid_sql(_TWO, "qid, rank, score, id, kind, name"))
 def hybrid_query(spark, sf):
-    return retrieval.hybrid_search(sig(spark, sf), asked(spark, (("q1", "red bolt route"), ("q2", "small ring class"))), Search()).select("qid", "rank", "score", "id", "kind", "name")
+    return retrieval.hybrid_search(sig(spark, sf), asked(spark, _TWO), Search()).select("qid", "rank", "score", "id", "kind", "name")
 
 
-@query("hybrid_prefilter")
+@query("hybrid_prefilter", _hybrid_sql([("q1", "red bolt"), ("q2", "small ring route")], "qid, rank, score, id, kind, file", pre="kind = 'route' AND contains(lower(file), 'brand-1')"))
 def _(spark, sf):
     return retrieval.hybrid_search(sig(spark, sf), asked(spark), Search(), kind="route", file="brand-1").select("qid", "rank", "score", "id", "kind", "file")
 
 
+@query("search_as_reference", _hybrid_sql(_TWO, "qid, rank, score, id, kind, name, file", as_reference=True))
+def _(spark, sf):
+    return retrieval.search_as_reference(sig(spark, sf), asked(spark, _TWO)).select("qid", "rank", "score", "id", "kind", "name", "file")
+
+
+@query("search_as_reference_filtered", _hybrid_sql(_TWO, "qid, rank, score, id, kind, name, file", post="kind = 'route'", as_reference=True))
+def _(spark, sf):
+    return retrieval.search_as_reference(sig(spark, sf), asked(spark, _TWO), kind="route").select("qid", "rank", "score", "id", "kind", "name", "file")
+
+
 @query(
     "cosine_topk",
     """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS s FROM e),
@@ -789,10 +952,18 @@ def _(spark, sf):
     return rounded(retrieval.cosine_means(q, v, "label"), 5).select(F.col("qid").cast("string").alias("qid"), "label", "n", "score")
 
 
-@query("hash_embedding")
+@query(
+    "hash_embedding",
+    """WITH t AS (SELECT id, trim(concat_ws(' ', name, text, concat_ws(' ', kind, p_brand, 'size' || p_size))) AS t FROM sig),
+h AS (SELECT id, abs(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(t, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648)) AS hash FROM t),
+v AS (SELECT id, hash, list_transform(range(16), lambda i: sin((hash + i)::DOUBLE) * 10000 - floor(sin((hash + i)::DOUBLE) * 10000)) AS v FROM h),
+n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda y: y * y))) AS norm FROM v)
+SELECT id, hash, array_to_string(list_transform(v, lambda x: CAST(floor(x / norm * 1000000 + 0.5) AS BIGINT)), ',') AS vector FROM n""",
+)
 def _(spark, sf):
+    """The vector's components as millionths."""
     v = retrieval.hash_embedding(retrieval.signal_text(), 16)
-    return sig(spark, sf).select("id", retrieval.text_hash(retrieval.signal_text()).alias("hash"), F.transform(v, lambda x: E.decimals(x, 6)).alias("vector"))
+    return sig(spark, sf).select("id", retrieval.text_hash(retrieval.signal_text()).alias("hash"), F.array_join(F.transform(v, lambda x: E.half_up(x * 1_000_000).cast("string")), ",").alias("vector"))
 
 
 # ---- evaluation
@@ -831,11 +1002,11 @@ def _(spark, sf):
     return evaluate.signal_matches(ground_truth(spark, sf), as_fixture(spark, sf), 5).select("id", "pos", "rank")
 
 
-@query(
-    "signal_benchmark",
-    f"""WITH {_HITS}, p AS (SELECT id, count(*) AS count, max(CASE WHEN rank = 1 THEN length(text) END) AS chars, bool_or(rank = 1 AND ok) AS one, bool_or(rank <= 3 AND ok) AS three FROM k WHERE rank <= 5 GROUP BY id)
-SELECT gt.id, coalesce(count, 0) AS count, CAST(coalesce(chars, 0) AS BIGINT) AS chars_read, CAST(floor(coalesce(chars, 0) / 4 + 0.5) AS BIGINT) AS tokens, CASE WHEN one THEN 3 WHEN three THEN 2 WHEN count > 0 THEN 1 ELSE 0 END AS correctness FROM gt LEFT JOIN p USING (id)""",
-)
+_SIGNAL_BENCHMARK = f"""WITH {_HITS}, p AS (SELECT id, count(*) AS count, max(CASE WHEN rank = 1 THEN length(text) END) AS chars, bool_or(rank = 1 AND ok) AS one, bool_or(rank <= 3 AND ok) AS three FROM k WHERE rank <= 5 GROUP BY id)
+SELECT gt.id, coalesce(count, 0) AS count, CAST(coalesce(chars, 0) AS BIGINT) AS chars_read, CAST(floor(coalesce(chars, 0) / 4 + 0.5) AS BIGINT) AS tokens, CASE WHEN one THEN 3 WHEN three THEN 2 WHEN count > 0 THEN 1 ELSE 0 END AS correctness FROM gt LEFT JOIN p USING (id)"""
+
+
+@query("signal_benchmark", _SIGNAL_BENCHMARK)
 def _(spark, sf):
     return evaluate.signal_benchmark(ground_truth(spark, sf), as_fixture(spark, sf)).drop("results")
 
@@ -884,24 +1055,65 @@ def _(spark, sf):
     return evaluate.real_baseline(ground_truth(spark, sf), as_files(spark, sf))
 
 
-@query("comparison_metrics")
+_COMPARED = f"""WITH ag AS ({_AGENT}), sb AS ({_SIGNAL_BENCHMARK}),
+t AS (SELECT CAST(sum(chars_read) AS BIGINT) AS bc, floor(sum(tokens) / count(*) + 0.5) AS bt, floor(sum(correctness) / count(*) * 100 + 0.5) / 100 AS ba, sum(tool_calls) AS calls FROM ag),
+u AS (SELECT floor(sum(tokens) / count(*) + 0.5) AS st, floor(sum(correctness) / count(*) * 100 + 0.5) / 100 AS sa, floor(count(*) FILTER (WHERE correctness >= 2) * 100 / count(*) * 10 + 0.5) / 10 AS hit, count(*) AS n FROM sb),
+m AS (SELECT *, floor((bt - st) / bt * 100 + 0.5) AS r1, floor((calls - n) / calls * 100 + 0.5) AS r2, CASE WHEN bt > st THEN ceil(bc / (bt - st)) ELSE 999 END AS ev FROM t, u)
+SELECT 'storage_reduction' AS metric, 500000::DOUBLE AS baseline, 100000::DOUBLE AS signals, 80::DOUBLE AS reduction, true AS success
+UNION ALL SELECT 'query_context', bt::DOUBLE, st::DOUBLE, r1::DOUBLE, r1 >= 20 FROM m UNION ALL SELECT 'tool_calls', calls::DOUBLE, n::DOUBLE, r2::DOUBLE, r2 > 0 FROM m
+UNION ALL SELECT 'accuracy', ba::DOUBLE, sa::DOUBLE, 0::DOUBLE, sa >= ba - 0.3::DOUBLE FROM m UNION ALL SELECT 'top3_hit_rate', 0::DOUBLE, hit::DOUBLE, hit::DOUBLE, hit >= 70 FROM m
+UNION ALL SELECT 'break_even', 0::DOUBLE, ev::DOUBLE, 0::DOUBLE, ev < 50 FROM m"""
+
+
+@query("comparison_metrics", _COMPARED)
 def _(spark, sf):
     q = ground_truth(spark, sf)
     return evaluate.comparison(evaluate.agent_baseline(q, as_files(spark, sf)), evaluate.signal_benchmark(q, as_fixture(spark, sf)), F.lit(500_000), F.lit(2000))
 
 
-@query("top1_accuracy")
+def _top1_sql(name: str) -> str:
+    rows = evaluate.DEFAULT_QUERIES if name == "default" else evaluate.NAVIGATION_QUERIES
+    said = lambda x: "NULL" if x is None else f"'{x}'"
+    wanted = ", ".join(f"('q{i}', {', '.join(map(said, q[1:]))})" for i, q in enumerate(rows))
+    found = _hybrid_sql([(f"q{i}", q[0]) for i, q in enumerate(rows)], "qid, kind AS r_kind, method AS r_method, file AS r_file, rank")
+    return f"""WITH fo AS ({found}), wa AS (SELECT * FROM (VALUES {wanted}) w(id, kind, method, part))
+SELECT wa.id, coalesce(kind = r_kind, false) OR coalesce(upper(method) = upper(r_method), false) OR coalesce(contains(r_file, part), false) AS correct FROM wa LEFT JOIN fo ON fo.qid = wa.id AND rank = 1"""
+
+
+@query("top1_accuracy", _top1_sql("default"))
 def _(spark, sf):
     q = evaluate.query_set(spark)
     found = retrieval.hybrid_search(sig(spark, sf), q.select(F.col("id").alias("qid"), "query"), Search())
     return evaluate.top1_accuracy(q, found)
 
 
-@query("simulated_baseline")
+@query("navigation_benchmark", _top1_sql("navigation"))
+def _(spark, sf):
+    return evaluate.navigation_benchmark(spark, lambda q: retrieval.hybrid_search(sig(spark, sf), q, Search()))
+
+
+_NOISE = "((('0x' || substr(md5('0:{}:' || id), 1, 8))::BIGINT % 1000) / 1000.0::DOUBLE)"
+
+
+@query(
+    "simulated_baseline",
+    f"""WITH {_GT}, n AS (SELECT id, CAST(2 + floor({_NOISE.format("reads")} * 4) AS BIGINT) AS reads, {_NOISE.format("size")} AS size, {_NOISE.format("grade")} AS grade FROM gt),
+c AS (SELECT *, CAST(floor(reads * (34000::DOUBLE / 47) * (0.8::DOUBLE + 0.4::DOUBLE * size) + 0.5) AS BIGINT) AS chars FROM n)
+SELECT id, reads + 1 AS tool_calls, reads AS full_reads, chars AS chars_read, CAST(floor(chars / 4 + 0.5) AS BIGINT) AS tokens, floor((1.0::DOUBLE + grade) * 100 + 0.5) / 100 AS correctness FROM c""",
+)
 def _(spark, sf):
     return evaluate.simulated_baseline(ground_truth(spark, sf), 47, 34_000)
 
 
+@query(
+    "simulated_signals",
+    f"""WITH {_GT}, n AS (SELECT id, {_NOISE.format("chars")} AS a, {_NOISE.format("found")} AS b, {_NOISE.format("match")} AS c FROM gt), c AS (SELECT *, CAST(floor(200 + 400 * a + 0.5) AS BIGINT) AS chars FROM n)
+SELECT id, CAST(1 + floor(b * 3) AS BIGINT) AS count, chars AS chars_read, CAST(floor(chars / 4 + 0.5) AS BIGINT) AS tokens, floor((2.0::DOUBLE + c) * 100 + 0.5) / 100 AS correctness FROM c""",
+)
+def _(spark, sf):
+    return evaluate.simulated_signals(ground_truth(spark, sf))
+
+
 @query(
     "ground_truth_validate",
     "SELECT CAST(item_id AS VARCHAR) AS id, e AS error FROM (SELECT item_id, unnest(list_filter([CASE WHEN item_id % 5 = 0 THEN 'missing query' END, CASE WHEN item_id % 7 = 0 THEN 'missing category' END, CASE WHEN item_id % 4 = 0 THEN 'missing expected kind' END], lambda x: x IS NOT NULL)) AS e FROM benchmark)",

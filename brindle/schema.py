@@ -19,21 +19,8 @@ GROUND_TRUTH = (
     "expected:struct<kind:string,method:string,path:string,file:string,handler:string,lineRequired:boolean>,difficulty:string>>"
 )
 
-# The kinds of signals and what they stand for.
-KINDS = {
-    "function": "functions and methods",
-    "class": "classes, enums, namespaces and properties",
-    "interface": "interfaces",
-    "type": "type aliases",
-    "import": "imports",
-    "export": "exports",
-    "route": "HTTP routes",
-    "component": "user interface components",
-    "file_path": "paths of files",
-    "search_match": "lines that a search found",
-    "error": "errors of tools",
-    "command_output": "output of commands",
-}
+# The catalogue of kinds, in order.
+KINDS = ("file", "import", "export", "function", "class", "interface", "type", "component", "route", "middleware", "symbol", "diagnostic")
 
 
 @dataclass(frozen=True)

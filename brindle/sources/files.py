@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,17 +17,24 @@ def supported(path, rules: ScanRules = ScanRules()):
     return ~E.ignored_folder(path, rules.ignored_folders) & E.extension(path).isin(*rules.extensions)
 
 
-def scan_tree(spark: SparkSession, root: str, rules: ScanRules = ScanRules(), content: bool = True) -> DataFrame:
+def _base(spark: SparkSession, root: str) -> str:
+    """The root as the file source names it in front of its files' paths: absolute, with its scheme."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/") or "/")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/") + "/"
+
+
+def scan_tree(spark: SparkSession, root: str, rules: ScanRules = ScanRules(), content: bool = True, oversize: bool = False) -> DataFrame:
     """(path, mtime, size[, content, hash]) of the files below root that the rules take; path is relative to root.
 
     Without content only the listing is read: the file source prunes the column.  The rules' filters on
-    path and length run before content is decoded.
+    path and length run before content is decoded.  oversize: those instead that are too large to be taken.
     """
-    base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(base)
-    inner = base.split("://", 1)[-1].removeprefix("file:").rstrip("/") + "/"
-    at = F.expr(f"substring_index(path, '{inner}', -1)")
-    files = files.filter(F.col("length") <= rules.max_bytes).withColumn("relative", at).filter(supported("relative", rules))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(root.rstrip("/"))
+    # Paths differ from the root's form in the slashes after the scheme at most, so both are cut there.
+    bare = lambda c: F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
+    base = "/" + _base(spark, root).split(":", 1)[-1].lstrip("/")
+    fits = F.col("length") > rules.max_bytes if oversize else F.col("length") <= rules.max_bytes
+    files = files.filter(fits).withColumn("relative", F.substring(bare("path"), F.lit(len(base) + 1), F.length("path"))).filter(supported("relative", rules))
     columns = [F.col("relative").alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size")]
     if content:
         columns += [F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("hash")]
@@ -70,37 +78,79 @@ def write_json(frame: DataFrame, path: str) -> None:
 
 
 class Store:
-    """A relation in versioned Parquet folders: writers never overwrite what readers read.
+    """A relation in Parquet folders that are named by manifests: writers never overwrite what readers read.
 
-    A commit writes the next version and then its marker; readers take the largest version with a marker.
+    A commit writes a folder and then the next manifest, which must not be there yet: of two writers one fails.  append adds
+    a folder to those of the manifest before, write begins anew; after COMPACT folders an append rewrites them as one.  Readers take the last
+    manifest.  vacuum removes all but the last `keep` manifests and the folders that none of these name; write and
+    append call it, so a frame that was read before the last `keep` commits can't be evaluated any more.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: str):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+    COMPACT = 32
+
+    def __init__(self, spark: SparkSession, root: str, schema: str, keep: int = 4):
+        self.spark, self.root, self.schema, self.keep = spark, root.rstrip("/"), schema, keep
+
+    def _path(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
-    def _files(self):
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return root, root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _fs(self):
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self) -> list[str]:
+        fs, root = self._fs(), self._path()
+        return [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+
+    def _versions(self) -> list[int]:
+        return sorted(int(n[1:-5]) for n in self._names() if n[:1] == "m" and n[-5:] == ".json" and n[1:-5].isdigit())
+
+    def _folders(self, version: int) -> list[str]:
+        stream = self._fs().open(self._path(f"m{version}.json"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
 
     def version(self) -> int:
         """The current version; -1 without any."""
-        root, fs = self._files()
-        if not fs.exists(root):
-            return -1
-        names = [x.getPath().getName() for x in fs.listStatus(root)]
-        return max((int(x[1:]) for x in names if x[:1] == "v" and x[1:].isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{x}/_SUCCESS"))), default=-1)
+        return max(self._versions(), default=-1)
 
     def read(self) -> DataFrame:
         v = self.version()
-        return self.spark.createDataFrame([], self.schema) if v < 0 else self.spark.read.schema(self.schema).parquet(f"{self.root}/v{v}")
+        folders = self._folders(v) if v >= 0 else []
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.root}/{x}" for x in folders)) if folders else self.spark.createDataFrame([], self.schema)
+
+    def _commit(self, frame: DataFrame, before: list[str], version: int) -> int:
+        folder = f"d{uuid.uuid4().hex}"
+        frame.write.parquet(f"{self.root}/{folder}")
+        out = self._fs().create(self._path(f"m{version}.json"), False)
+        out.write(bytearray(json.dumps([*before, folder]).encode()))
+        out.close()
+        self.vacuum()
+        return version
 
     def write(self, frame: DataFrame) -> int:
-        v = self.version() + 1
-        frame.write.mode("overwrite").parquet(f"{self.root}/v{v}")
-        return v
+        return self._commit(frame, [], self.version() + 1)
 
     def append(self, frame: DataFrame) -> int:
-        return self.write(self.read().unionByName(frame))
+        v = self.version()
+        before = self._folders(v) if v >= 0 else []
+        if len(before) >= self.COMPACT:
+            columns = self.read().columns
+            return self._commit(self.read().unionByName(frame.select(*columns)).coalesce(max(1, self.bytes() >> 27)), [], v + 1)
+        return self._commit(frame, before, v + 1)
+
+    def vacuum(self) -> None:
+        versions = self._versions()
+        old, fs = versions[: -self.keep], self._fs()
+        if not old:
+            return
+        used = {x for v in versions[-self.keep :] for x in self._folders(v)}
+        gone = {x for v in old for x in self._folders(v)} - used
+        for v in old:
+            fs.delete(self._path(f"m{v}.json"), False)
+        for x in gone:
+            fs.delete(self._path(x), True)
 
     def clear(self) -> int:
         """Rows gone; the store stays as an empty version."""
@@ -110,10 +160,7 @@ class Store:
 
     def bytes(self) -> int:
         v = self.version()
-        if v < 0:
-            return 0
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/v{v}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+        return sum(self._fs().getContentSummary(self._path(x)).getLength() for x in self._folders(v)) if v >= 0 else 0
 
 
 def corpus_size(files: DataFrame, content: str = "content", extensions: tuple[str, ...] | None = None, path: str = "path") -> DataFrame:

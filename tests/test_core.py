@@ -7,11 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle import queries as core
+from brindle import schema
 from brindle.functions import exprs as E
-from brindle.operators import lines, merge, retrieval, stats, syntax
+from brindle.operators import code, lines, merge, retrieval, stats, syntax
 from brindle.plans import evaluate
 from brindle.plans.engine import Engine
 from brindle.schema import Search
+from brindle.sources import files as S
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -248,13 +250,89 @@ def test_engine_end_to_end(spark, tmp_path):
     assert (again["to_index"], again["removed"]) == (1, 1)
     assert {r["name"] for r in engine.signals.read().collect()} == {"logout"}
     out = ev(spark, "glob", "Found 1\n/a/b.ts\n")
+    evidence = engine.evidence.read().count()
     assert engine.ingest(out) == {"created": 1, "updated": 0} and engine.ingest(out) == {"created": 0, "updated": 1}
+    assert engine.evidence.read().count() == evidence + 1 and engine.index.stats().first()["document_count"] == 2
     assert engine.search("logout").first()["name"] == "logout"
     assert engine.stats().first()["total_searches"] == 1
     assert engine.kinds().count() == 12
     assert engine.clear()["signals"] == 2 and engine.signals.read().count() == 0
 
 
+def test_warm_start_counters_and_fallback(spark, tmp_path, monkeypatch):
+    tree = tmp_path / "it's src" / "lib" / "src"
+    (tree / "dist").mkdir(parents=True)
+    (tree / "dist" / "a.ts").write_text("export function hidden() {}\n")
+    (tree / "good.ts").write_text("export function fine() {}\n")
+    (tree / "big.ts").write_text("x" * 5000)
+    root = str(tmp_path / "it's src")
+    engine = Engine(spark, str(tmp_path / "store"))
+    small = schema.ScanRules(max_bytes=1000)
+    assert engine.warm(root, small) == {"state": "indexed", "changed": 1, "removed": 0}
+    assert [r["file"] for r in engine.signals.read().collect()] == ["lib/src/good.ts"]
+    assert engine.warm(root, small) == {"state": "warm", "changed": 0, "removed": 0}
+    (tree / "bad.ts").write_text("export class Late {}\napp.get('/late', late)\n")
+    assert engine.warm(root, small) == {"state": "stale", "changed": 1, "removed": 0}
+    # The scanner fails on a file: its signals come by patterns.
+    real = syntax.structural_signals
+    broken = lambda rows: real(rows).withColumn("kind", F.when(F.col("file").contains("bad"), "error").otherwise(F.col("kind")))
+    monkeypatch.setattr("brindle.plans.engine.syntax.structural_signals", broken)
+    done = engine.scan(root, rules=small)
+    assert (done["failed"] > 0, done["skipped"], done["to_index"]) == (True, 1, 1) and done["errors"] and done["duration_ms"] > 0
+    assert {r["name"] for r in engine.signals.read().collect()} >= {"fine", "Late", "GET /late"}
+    report = engine.evaluate(root, spark.createDataFrame([("1", "where is fine", "symbol", ("function", None, None, None, "fine", False))], "id string, query string, category string, expected struct<kind:string,method:string,path:string,file:string,handler:string,lineRequired:boolean>"), small)
+    assert report[0].count() == 6 and "Verdict" in report[1]
+
+
+def test_store_appends_compacts_and_forgets(spark, tmp_path):
+    store = S.Store(spark, str(tmp_path / "s"), "a int", keep=2)
+    store.COMPACT = 3
+    one = lambda i: spark.createDataFrame([(i,)], "a int")
+    for i in range(6):
+        store.append(one(i))
+    assert sorted(r["a"] for r in store.read().collect()) == list(range(6))
+    names = os.listdir(tmp_path / "s")
+    assert len([n for n in names if n.startswith("m")]) == 2 and len([n for n in names if n.startswith("d")]) <= 5
+    with pytest.raises(Exception, match="exist"):
+        store._commit(one(9), [], store.version())
+    assert store.clear() == 6 and store.read().count() == 0
+
+
+def test_search_log_keeps_the_last_searches(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"))
+    engine.log.write(spark.range(1000).selectExpr("'old' as query", "0 as results_count", "timestamp_seconds(id) as ts"))
+    engine.search("anything")
+    assert engine.log.read().count() == 500 and engine.log.read().filter("query = 'anything'").count() == 1
+
+
+def test_index_and_vectors_follow_their_documents(spark, tmp_path):
+    store = retrieval.IndexStore(spark, str(tmp_path / "i"))
+    docs = spark.createDataFrame([("1", "red bolt", "a"), ("2", "red ring", "b"), ("3", "blue ring", "c")], "id string, text string, name string")
+    store.add(docs.filter("id < 3"))
+    store.add(docs.filter("id = 3"))
+    asked = spark.createDataFrame([("q", "ring")], "qid string, query string")
+    found = lambda index: sorted((r["id"], round(r["score"], 9)) for r in retrieval.bm25(index, asked).collect())
+    assert found(store.read()) == found(retrieval.build_index(docs)) and len(found(store.read())) == 2
+    store.remove(docs.filter("id = 2").select("id"))
+    assert found(store.read()) == found(retrieval.build_index(docs.filter("id <> 2"))) and store.stats().first()["document_count"] == 2
+    store.clear()
+    assert found(store.read()) == []
+    vectors = retrieval.VectorStore(spark, str(tmp_path / "v"))
+    vectors.upsert(spark.createDataFrame([("1", [1.0, 0.0]), ("2", [0.0, 1.0])], "id string, v array<double>"))
+    vectors.upsert(spark.createDataFrame([("2", [1.0, 1.0])], "id string, v array<double>"))
+    q = spark.createDataFrame([("q", [1.0, 1.0])], "qid string, qv array<double>")
+    assert [r["id"] for r in vectors.search(q, 1).collect()] == ["2"]
+    vectors.remove(spark.createDataFrame([("2",)], "id string"))
+    assert [r["id"] for r in vectors.search(q).collect()] == ["1"]
+    vectors.enabled = False
+    assert vectors.search(q).count() == 0 and vectors.clear() == 1
+
+
+def test_marks_in_sources_do_not_matter(spark):
+    rows = spark.createDataFrame([("a.ts", "// \ue0f1\n\nfunction one() {}\nfunction two() {}\n")], "file string, content string")
+    assert sorted((r["name"], r["line_start"]) for r in code.fallback_signals(rows).collect()) == [("one", 3), ("two", 4)]
+
+
 def test_stream(spark, tmp_path):
     from brindle.streaming.ingest import ingest_stream, tool_output_stream
 
@@ -264,4 +342,4 @@ def test_stream(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "store"))
     for _ in range(2):
         ingest_stream(tool_output_stream(spark, str(folder)), engine, str(tmp_path / "ck")).awaitTermination()
-    assert [r["file"] for r in engine.signals.read().collect()] == ["/x/y.ts"]
+    assert [r["file"] for r in engine.signals.read().collect()] == ["/x/y.ts"] and engine.evidence.read().count() == 1
