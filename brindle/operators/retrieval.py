@@ -163,7 +163,8 @@ def bm25(index: Index, queries: DataFrame, prefix: bool = True, fuzzy: bool = Tr
     norm = settings.k * (1 - settings.b + settings.b * F.col("len") / F.col("avg_len"))
     score = F.col("weight") * F.col("boost") * idf * (settings.d + F.col("tf") * (settings.k + 1) / (F.col("tf") + norm))
     per = hits.withColumn("s", score).groupBy("qid", "id").agg(F.sum("s").alias("sum"), F.count_distinct("qterm").alias("matched"))
-    return per.select("qid", "id", (F.col("sum") * F.col("matched")).alias("score"), "matched")
+    # Sums come in any order: to 9 places reruns agree, and equal scores tie.
+    return per.select("qid", "id", E.decimals(F.col("sum") * F.col("matched"), 9).alias("score"), "matched")
 
 
 def top(scored: DataFrame, k: int, by: str = "qid", score: str = "score", tie: str = "id") -> DataFrame:

@@ -846,7 +846,7 @@ on_ AS (SELECT no.*, row_number() OVER (PARTITION BY s.kind, s.file, s.name, s.l
 SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, br) AS INT) AS rank FROM on_ WHERE rn = 1 QUALIFY rank <= 8"""
 
 
-@query("hybrid_exact", _HYBRID.replace("floor(sum(s) * count(DISTINCT qterm) * 1000 + 0.5) / 1000 AS score", "sum(s) * count(DISTINCT qterm) AS score"))
+@query("hybrid_exact", _HYBRID.replace("floor(sum(s) * count(DISTINCT qterm) * 1000 + 0.5) / 1000 AS score", "floor(sum(s) * count(DISTINCT qterm) * 1000000000 + 0.5) / 1000000000 AS score"))
 def _(spark, sf):
     found = retrieval.hybrid_search(sig(spark, sf), asked(spark, (("q", "get red route"),)), Search(), prefix=False, fuzzy=False, weights=_SMALL)
     return found.select("id", "score", "rank")
@@ -866,7 +866,7 @@ def _hybrid_sql(queries: list[tuple[str, str]], columns: str, pre: str = "TRUE",
     terms = rf"q AS (SELECT DISTINCT qid, unnest(list_filter(regexp_split_to_array(lower(t), '[\n\r\p{{Z}}\p{{P}}]+'), lambda x: x <> '')) AS qterm FROM (VALUES {asked}) v(qid, t))"
     scored = _BM25.replace(_FIELDS, _FIELDS_ALL).replace(_ASKED, terms).replace("{match}", _ANY_MATCH)
     scored = scored.replace("CASE po.field WHEN 'name' THEN 4 WHEN 'kind' THEN 2 ELSE 1 END", "CASE po.field WHEN 'name' THEN 4 WHEN 'tags' THEN 3 WHEN 'kind' THEN 2 WHEN 'file' THEN 2 ELSE 1 END")
-    scored = scored.replace("floor(sum(s) * count(DISTINCT qterm) * 1000 + 0.5) / 1000 AS score", "sum(s) * count(DISTINCT qterm) AS score")
+    scored = scored.replace("floor(sum(s) * count(DISTINCT qterm) * 1000 + 0.5) / 1000 AS score", "floor(sum(s) * count(DISTINCT qterm) * 1000000000 + 0.5) / 1000000000 AS score")
     structural = "CASE qid " + " ".join(f"WHEN '{i}' THEN {_structural_sql(x.lower())}" for i, x in queries) + " END"
     order = "br" if as_reference else "score DESC, br"
     return f"""WITH {scored}, tc AS (SELECT qid, sc.id, floor(score * 100 + 0.5) / 100 AS b, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sc.id) AS br FROM sc JOIN sig USING (id) WHERE {pre} QUALIFY br <= {3 * limit}),
