@@ -112,9 +112,21 @@ class Automaton:
 
 
 def load(path: str) -> Automaton:
-    """Compile a byte-level vocabulary file, read where this is called: on the driver."""
+    """Compile a byte-level vocabulary file, read where this is called: on the driver.
+
+    Files that ask for more than this does (other pre-tokenizers, normalizers, model or token flags) are refused.
+    """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    asked = {
+        "normalizer": spec.get("normalizer") is not None,
+        "pre_tokenizer": split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True),
+        "model": model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        "added_tokens": any(x.get(k) for x in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")),
+    }
+    if any(asked.values()):
+        raise ValueError(f"{path}: not a plain byte-level vocabulary: {', '.join(k for k, v in asked.items() if v)}")
     alphabet = byte_alphabet()
     special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
     vocab = {k: v for k, v in spec["model"]["vocab"].items() if k not in special}

@@ -6,7 +6,7 @@ all sources that aren't full, so it is found by one pass over the sources in the
 
 A target is met by whole repetitions of the source and, for the rest, by a seeded random order of its
 documents: they are taken one more time until the rest is used up, the last one in part.  Positions in that order
-are running sums within 256 buckets of a seeded hash, added to the sizes of the buckets before, so a source with
+are running sums within buckets of a seeded hash, four for each shuffle partition at least, added to the sizes of the buckets before, so a source with
 a third of all rows is no single task.  Per source and bucket, rows are summed before they are shuffled.
 
 Null text has no words.  Null is a source of its own, last in order.  A source without words gets target 0.
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import shuffle_partitions
+
 #: Words are runs of anything but x20 and x09-x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -56,13 +58,14 @@ def mix(docs: DataFrame, carry: list[str], source: str = "source", text: str = "
 
     taken = repeats * size + extra, extra being the words of the fractional repetition.
     """
+    digits = max(2, -(-((4 * shuffle_partitions(docs.sparkSession)).bit_length()) // 4))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[key].cast("string"), F.lit("null"))))
     rows = docs.select(
         F.struct(*(docs[c] for c in carry)).alias("row"),
         docs[source].alias("source"),
         F.coalesce(F.regexp_count(docs[text], F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         order.alias("place"),
-    ).withColumn("bucket", F.substring("place", 1, 2))
+    ).withColumn("bucket", F.substring("place", 1, digits))
     parts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
     goals = targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), weights, share, max_epochs)
     goal = F.floor(F.col("target") + 0.5).cast("bigint")

@@ -8,10 +8,13 @@ two unequal halves of the domain, ten rounds of blake2b, and cycle-walking where
 the domain.  The result is written back in the value's own format, separators included, so it is valid again,
 equal values get equal pseudonyms in all documents and formats, and different values different ones.
 
-kinds: card, ssn, phone, ip, iban, date, email (the local part), secret (access keys; values of at least
+kinds: card, ssn, phone, ip (both versions), iban, date, email (local part and host up to its last label; read without
+case, so John@x.com and john@x.com are linked), secret (access keys of known forms, the body of private-key blocks; values of at least
 six characters after password, passwd, pwd, secret, token or api key and = or :, the name alone or a part between
-underscores or hyphens).  A secret's value goes up to its closing quote, without one up to white space, however long it is;
-letters and digits are replaced, other characters stay.  Null text stays null with nothing found.  Rows are independent: repeated rows, null ids and
+underscores or hyphens; after `is` only a value with a digit).  A secret's value goes up to its closing quote, without one up to white space, however long it is;
+letters and digits are replaced, other characters stay.  Dates are read year first, day first with dots, and with slashes or
+hyphens month first where that is a date, else day first; the new date is written in the same order, without leading zeros where
+the old one had none.  Null text stays null with nothing found.  Rows are independent: repeated rows, null ids and
 further columns change nothing; an empty table gives an empty table.  The key is the caller's secret: a
 permutation can be undone with it, and values can't be linked with those under another key.
 """
@@ -21,6 +24,7 @@ from __future__ import annotations
 import datetime
 import functools
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 
@@ -38,21 +42,25 @@ _PATTERN = re.compile(
     r"""(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9]))
 |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\ [A-Z0-9]{4}){2,7}(?:\ [A-Z0-9]{1,3})?)(?![A-Za-z0-9]))
 |(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))
-|(?P<date>(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-]))
+|(?P<date>(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-]))
 |(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))
+|(?P<ip6>(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?![0-9A-Za-z:]))
 |(?P<card>(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}|3[47][0-9]{2}(?P<gap2>[ -])[0-9]{6}(?P=gap2)[0-9]{5})(?![0-9]))
 |(?P<phone>(?<![0-9A-Za-z+])(?:
   (?:\+1[\ .-]?|(?<![0-9][\ .-])1[\ .-])?(?:\([0-9]{3}\)[\ .-]?|[0-9]{3}[\ .-])[0-9]{3}[\ .-][0-9]{4}(?![0-9])
   |(?:\+|00(?=[1-9][0-9]{0,2}[\ .(-]))(?:[1-9][0-9]{0,2}[\ .-]?(?:\(0\)[\ .-]?[0-9](?:[\ .-]?[0-9]){5,11}|\([0-9]{1,5}\)(?:[\ .-]?[0-9]){4,8})|[1-9](?:[\ .-]?[0-9]){6,14})(?![0-9]|[.-][0-9])
   |(?:\(0[1-9][0-9]{0,4}\)[\ .-]?[0-9](?:[\ -]?[0-9]){4,8}|0[1-9][0-9]{0,3}(?P<gap3>[\ /-])[0-9]{2}(?:(?P=gap3)?[0-9]){5,8})(?![0-9]|[.-][0-9])))
 |(?P<aws>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))
+|(?P<vendor>(?<![A-Za-z0-9_])(?:gh[opsur]_|github_pat_|glpat-|[sr]k_(?:live|test)_|xox[abeprs]-|AIza|npm_|hf_|sk-(?=[A-Za-z0-9_-]{0,12}[A-Za-z0-9]{20}))(?P<token>[A-Za-z0-9_-]{16,}+))
+|(?P<block>-----BEGIN\ (?:[A-Z]{1,20}\ ){0,3}PRIVATE\ KEY(?:\ BLOCK)?-----(?P<body>[^-]++(?:-(?!----END)[^-]*+)*+)-----END)
+|(?P<said>(?<![A-Za-z0-9_-])(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key)\ (?i:is)[:]?\ ["']?(?P<value>(?=[^\s"']{0,64}[0-9])[^\s"'.,;]{6,}+))
 |(?P<named>(?<![A-Za-z0-9_-])[_-]*+(?i:(?:[A-Za-z0-9]++[_-]++)*?(?:password|passwd|pwd|secret|token|api[_-]?key)(?:[_-]++[A-Za-z0-9]++)*+)[_-]*+["']?[\ \t]{0,8}[=:][\ \t]{0,8})
   (?:"(?P<double>(?:\\.|[^"\\\r\n]){6,}+)"|'(?P<single>(?:\\.|[^'\\\r\n]){6,}+)'|["']?(?P<bare>(?:[^\s"']|["'](?=[A-Za-z0-9])){6,}+))""",
     re.VERBOSE | re.ASCII,
 )
 _TEN = re.compile(r"(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}")
 _TWO_DIGIT_COUNTRIES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
-_WORTH = re.compile(r"[0-9@]|(?i:passw|pwd|secret|token|key)")
+_WORTH = re.compile(r"[0-9@]|::|(?i:passw|pwd|secret|token|key)")
 
 
 class Feistel:
@@ -219,26 +227,58 @@ def _iban(f: Feistel, s: str) -> str | None:
     return "".join(c if c == " " else next(left) for c in s)
 
 
-def _date(f: Feistel, s: str) -> str | None:
-    fields = [int(x) for x in re.split(r"[-/.]", s)]
-    year, month, day = fields if "-" in s else (fields[2], *fields[:2]) if "/" in s else (fields[2], fields[1], fields[0])
+def _ip6(f: Feistel, s: str) -> str | None:
+    """Its written form stays; without case, so both are linked."""
     try:
-        x = datetime.date(year, month, day).toordinal() - _FIRST_DAY
+        ipaddress.IPv6Address(s)
     except ValueError:
         return None
-    if not 0 <= x < _DAYS:
+    digits = "".join(c for c in s.lower() if c != ":")
+    if len(digits) < 8:  # names between colons rather than an address, or one that says nothing of anybody
         return None
-    new = datetime.date.fromordinal(f.permute("date", x, _DAYS) + _FIRST_DAY)
-    return f"{new:%Y-%m-%d}" if "-" in s else f"{new:%m/%d/%Y}" if "/" in s else f"{new:%d.%m.%Y}"
+    while True:  # a group's first digit isn't 0 where it wasn't, so the form stays
+        digits = _mixed(f, "secret", digits)
+        left = iter(digits)
+        new = "".join(c if c == ":" else next(left) for c in s)
+        if all((a[:1] == "0") == (b[:1] == "0") or len(a) == 1 for a, b in zip(s.split(":"), new.split(":"), strict=True)):
+            return new.upper() if s.isupper() else new
+
+
+def _date(f: Feistel, s: str) -> str | None:
+    sign = re.search(r"[-/.]", s)[0]
+    parts = s.split(sign)
+    a, b, c = map(int, parts)
+    orders = [(0, 1, 2)] if len(parts[0]) == 4 else [(2, 1, 0)] if sign == "." else [(2, 0, 1), (2, 1, 0)]  # places of year, month, day
+    for order in orders:
+        year, month, day = ((a, b, c)[i] for i in order)
+        try:
+            x = datetime.date(year, month, day).toordinal() - _FIRST_DAY
+        except ValueError:
+            continue
+        if not 0 <= x < _DAYS:
+            continue
+        short = any(len(p) == 1 for p in parts)
+        new = datetime.date.fromordinal(f.permute("date", x, _DAYS) + _FIRST_DAY)
+        fresh = [""] * 3
+        for place, value in zip(order, (f"{new.year:04}", new.month, new.day), strict=True):
+            fresh[place] = value if isinstance(value, str) else f"{value}" if short else f"{value:02}"
+        return sign.join(fresh)
+    return None
+
+
+def _in_case(new: str, shape: str) -> str:
+    return "".join(x.upper() if c.isupper() else x for x, c in zip(new, shape, strict=True))
 
 
 def _email(f: Feistel, s: str) -> str | None:
     local, _, host = s.partition("@")
-    return f"{_mixed(f, 'email|' + host.lower(), local)}@{host}"
+    name, _, last = host.rpartition(".")
+    fresh = _in_case(_mixed(f, "email|" + host.lower(), local.lower()), local)
+    return f"{fresh}@{_in_case(_mixed(f, 'host|' + last.lower(), name.lower()), name)}.{last}"
 
 
-_BY_KIND: dict[str, Callable[[Feistel, str], str | None]] = {"card": _card, "ssn": _ssn, "phone": _phone, "ip": _ip, "iban": _iban, "date": _date, "email": _email}
-KINDS = tuple(_BY_KIND)
+_BY_KIND: dict[str, Callable[[Feistel, str], str | None]] = {"card": _card, "ssn": _ssn, "phone": _phone, "ip": _ip, "ip6": _ip6, "iban": _iban, "date": _date, "email": _email}
+KINDS = tuple(k for k in _BY_KIND if k != "ip6")
 
 
 def pseudonymize(text: str, f: Feistel) -> tuple[str, list[tuple[str, int, int, str]]]:
@@ -251,24 +291,35 @@ def pseudonymize(text: str, f: Feistel) -> tuple[str, list[tuple[str, int, int,
         if m["named"] is not None:
             kind, (start, end) = "secret", next(m.span(g) for g in ("double", "single", "bare") if m[g] is not None)
             new = _mixed(f, "secret", text[start:end]) if any(map(str.isalnum, text[start:end])) else None
+        elif m["said"] is not None:
+            kind, (start, end) = "secret", m.span("value")
+            new = _mixed(f, "secret", text[start:end])
+        elif m["block"] is not None:
+            kind, (start, end) = "secret", m.span("body")
+            new = _mixed(f, "secret", text[start:end]) if any(map(str.isalnum, text[start:end])) else None
+        elif m["vendor"] is not None:
+            kind, (start, end) = "secret", m.span("token")
+            new = _mixed(f, "secret", text[start:end])
         elif m["aws"] is not None:
             kind, new = "secret", m["aws"][:4] + _mixed(f, "secret", m["aws"][4:])
         else:
             kind = next(k for k in _BY_KIND if m[k] is not None)
             new = _BY_KIND[kind](f, m[0])
+            kind = "ip" if kind == "ip6" else kind
         if new is None:  # not valid: what begins inside may be
             place = m.start() + 1
             continue
         found.append((kind, start, end, new))
         out += [text[at:start], new]
-        at = place = end
+        at = end
+        place = max(end, m.end()) if m["block"] is None else end
     return "".join([*out, text[at:]]), found
 
 
 _SPANS = "array<struct<kind:string,start:int,end:int,pseudonym:string>>"
 
 
-def protect(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: bytes = b"brindle") -> DataFrame:
+def protect(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, clean text, and spans (kind, start, end in the given text, pseudonym)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpointed(frame: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the session names.
 
-    Only where spark.checkpoint.dir is unset, as in tests on one machine, a local folder is set.
+    Where spark.checkpoint.dir is unset a folder of this machine is set if there is no other (master local[...]); on a cluster it is an error.
     """
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="brindle-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="brindle-checkpoint-"))
     return frame.checkpoint(eager=True)
 
 

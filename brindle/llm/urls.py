@@ -18,9 +18,21 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-# The vocabulary.
-STRICT = ("adult-x", "casino", "casino-win", "cheap-pills", "escorts", "malware", "phishing", "porn", "spam-farm", "viagra", "warez", "xxx")
-SOFT = ("ads", "adult", "bets", "bonus", "cheap", "deals", "farm", "free", "jackpot", "loan", "loans", "pills", "poker", "spam", "track", "win")
+# A vocabulary of words for what training text should not come from, after no table in particular.  Larger lists
+# are files for read_vocabulary.  Strict terms say it alone, soft ones together.
+STRICT = tuple(
+    """adultchat adultdating adultfilm adultporn bdsm blackjack bukkake camgirl camgirls camsex casino casinos cialis cracked-software creampie cumshot deepfakes
+    dildo escort escorts ecstasy-shop fakeid fetish gangbang gore hardcoresex hentai hookup-sites incest keygen keygens kamagra lolicon malware milf nudes onlinecasino
+    pharma-online phish phishing porn porno pornhub pornstar pornstars pornvideo roulette-online sexcam sexcams sexchat sexshop sexvideo slots-online spyware steroids-shop
+    stripclub stripper swingers torrentz tramadol trojan upskirt viagra voyeur warez webcamsex xanax-online xxx xxxvideo""".split()
+)
+SOFT = tuple(
+    """18plus adult ads adware affiliate affiliates babes baccarat bet bets betting bingo binary-options bonus bonuses booty bride brides cams cash cheap clickbait coupon coupons
+    crack cracks credit crypto dating deal deals discount discounts drugs earn easy-money erotic essay-writing farm fast-loans forex free freebie freespins gamble gambling
+    get-rich girls giveaway hack hacks hot hotgirls install-now jackpot kinky loan loans lottery lucky meds miracle money nude offer offers payday pill pills poker popunder popups
+    pharmacy promo promos prize prizes pyramid replica rich roulette sale sales seo sexy singles slot slots spam spins stream-free streams sweepstakes torrent torrents track
+    tracker traffic unlimited vape watches weed weight-loss win winner winners""".split()
+)
 
 # Fixed values: (host, path, verdict).
 RULES = (
@@ -47,6 +59,17 @@ def rule_for(host: str, path: str, rules=RULES) -> tuple[str, str, str] | None:
     return max(fits, key=lambda r: (len(r[0] + r[1]), r[0] + r[1]), default=None)
 
 
+def read_vocabulary(path: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Strict and soft terms of a text file of `weight<TAB>term` lines, read on the driver: weight 2 or more is strict, 1 soft; empty lines and those after # don't count."""
+    strict, soft = [], []
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            if line.strip() and not line.startswith("#"):
+                weight, term = line.rstrip("\n").split("\t", 1)
+                (strict if float(weight) >= 2 else soft).append(term.strip().translate(_LOWER))
+    return tuple(strict), tuple(soft)
+
+
 class Vocabulary:
     def __init__(self, strict: tuple[str, ...], soft: tuple[str, ...]):
         self.strict = frozenset(strict)
@@ -88,11 +111,14 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES,
 
 def judge_sql(rules=RULES, strict=STRICT, soft=SOFT, soft_limit: int = 2) -> str:
     """The same judgement as DuckDB SQL over pages."""
-    term = lambda t: f"regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')"
+    # Terms of letters and digits alone are whole words; the others are looked for between boundaries.
+    plain = lambda t: t.isalnum()
+    term = lambda t: f"list_contains(words, '{t}')" if plain(t) else f"regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')"
     listed = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rules)
     return rf"""
 WITH u AS (SELECT page_id, coalesce(url, '') AS url, regexp_extract(coalesce(url, ''), '(?s)://([^/?#]*)([^?#]*)', ['host', 'path']) AS part FROM pages),
 p AS (SELECT page_id, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+      string_split_regex(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+') AS words,
       translate(part.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, part.path AS path FROM u),
 r(h, s, v) AS (VALUES {listed}),
 best AS (SELECT page_id, arg_max(h || s, length(h || s)) AS rule, arg_max(v, length(h || s)) AS verdict
