@@ -116,7 +116,8 @@ def drops(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: i
     """(doc, tag, n_lines, pos) of every line to drop; tag tells apart different texts under one doc_id."""
     n = shuffle_partitions(docs.sparkSession)
     source = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
-    lines = source.mapInArrow(_hash_lines(min_chars), _LINES)
+    # Written first: cutting ranges takes a sample, which else hashes all lines a second time.
+    lines = checkpointed(source.mapInArrow(_hash_lines(min_chars), _LINES))
     order = [F.col("h1"), F.col("h2"), F.col("doc").desc(), F.col("tag"), F.col("pos")]
     ordered = checkpointed(lines.repartitionByRange(n, *order[:3]).sortWithinPartitions(*order))
     runs = ordered.mapInArrow(_stream_runs(min_docs), _LINES + ", edge boolean")
