@@ -4,7 +4,8 @@ Lines become (hash, document, position) rows that are range-partitioned by hash
 hash, document (largest first) and position.  One pass streams each partition's runs of a hash: the first
 document of a run is the one that keeps its lines.  Since the document is part of the range, a line that a third
 of all documents hold is spread over many tasks; a run that touches an end of its partition may go on in the
-next, so such runs (two for each partition at most) are summed up and joined back by their hash.
+next, so such runs (two for each partition at most) are summed up and joined back by their hash.  Of a run that began here
+no more than its first `min_docs` documents are held or summed: the keeper is among them, and they are enough to count.
 
 A line's key is the line stripped of x20 and x09-x0D at both ends with A-Z lower-cased.  Keys of at least
 `min_chars` code points found in at least `min_docs` documents lose all their lines but those in the largest
@@ -92,10 +93,28 @@ def _stream_runs(min_docs: int):
         out = edge | (docs[run] >= min_docs) & (doc != doc[at][run])
         return pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (*rows.values(), edge)], names=[*rows, "edge"])
 
+    def some(rows: dict[str, np.ndarray], out: np.ndarray, edge: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (*rows.values(), np.full(len(rows["h1"]), edge))], names=[*rows, "edge"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, left, first = ["h1", "h2", "doc", "tag", "n_lines", "pos"], None, True
+        names = ["h1", "h2", "doc", "tag", "n_lines", "pos"]
+        # left: rows of the last run that wait; going: its hashes once later rows needn't wait; first: it is the partition's first.
+        left, going, first = None, None, True
         for batch in batches:
             rows = {k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}
+            if going is not None:
+                same = (rows["h1"] == going[0]) & (rows["h2"] == going[1])
+                n = len(same) if same.all() else int(np.argmin(same))
+                keeper = None if first else left["doc"][0]
+                out = np.arange(n) if first else np.flatnonzero(rows["doc"][:n] != keeper)
+                if len(out):
+                    yield some(rows, out, first)
+                rows = {k: v[n:] for k, v in rows.items()}
+                if not len(rows["h1"]):
+                    continue
+                if not first:
+                    yield some(left, np.flatnonzero(left["doc"] != keeper), False)
+                left, going, first = None, None, False
             if left is not None:
                 rows = {k: np.concatenate([left[k], rows[k]]) for k in names}
             if not len(rows["h1"]):
@@ -106,8 +125,18 @@ def _stream_runs(min_docs: int):
             if cut and (out := decide({k: v[:cut] for k, v in rows.items()}, first, False)):
                 yield out
                 first = False
-        if left is not None and (out := decide(left, True, True)):
-            yield out
+            last = left["h1"][0], left["h2"][0]
+            if first:
+                # It may have begun in the partition before: all of it is summed elsewhere.
+                yield some(left, np.arange(len(left["h1"])), True)
+                left, going = None, last
+            elif (docs := np.cumsum(left["doc"] != np.concatenate([left["doc"][:1] - 1, left["doc"][:-1]])))[-1] > min_docs:
+                # Its first min_docs documents wait, since it may go on in the next partition; the others' lines go in any case.
+                head = int(np.searchsorted(docs, min_docs, "right"))
+                yield some(left, np.arange(head, len(docs)), False)
+                left, going = {k: v[:head].copy() for k, v in left.items()}, last
+        if left is not None:
+            yield some(left, np.arange(len(left["h1"])), True)
 
     return run
 

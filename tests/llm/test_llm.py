@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import json
 import os
 import random
@@ -10,6 +11,8 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -487,6 +490,43 @@ def test_one_line_in_all_documents_crosses_partitions(spark):
     assert got[399].startswith(line) and all(got[i] == f"own {i}" for i in range(399))
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_runs_over_any_batches_and_partitions(seed):
+    rng = np.random.default_rng(seed)
+    n, least = 600, 4
+    rows = sorted({(int(h), 0, -int(d), 0, 9, int(p)) for h, d, p in zip(rng.choice(5, n, p=[0.6, 0.2, 0.1, 0.05, 0.05]), rng.integers(0, 200, n), rng.integers(0, 3, n), strict=True)})
+    names, gone, edges = ["h1", "h2", "doc", "tag", "n_lines", "pos"], [], []
+    cuts = [0, *sorted(rng.choice(len(rows), 5).tolist()), len(rows)]
+    for a, b in itertools.pairwise(cuts):
+        while a < b and rows[a][:3] == rows[a - 1][:3] and a:  # a document's equal lines stay in one partition
+            a += 1
+        while b < len(rows) and rows[b][:3] == rows[b - 1][:3]:
+            b += 1
+        size = int(rng.integers(1, 40))
+        batches = [pa.RecordBatch.from_arrays([pa.array([abs(r[c]) for r in rows[i : min(b, i + size)]], pa.int64()) for c in range(6)], names=names) for i in range(a, b, size)]
+        for out in linededup._stream_runs(least)(iter(batches)):
+            for r in out.to_pylist():
+                (edges if r.pop("edge") else gone).append((r["h1"], r["doc"], r["pos"]))
+    docs = collections.defaultdict(set)
+    for h, d, _ in edges:
+        docs[h].add(d)
+    gone += [(h, d, p) for h, d, p in edges if len(docs[h]) >= least and d != max(docs[h])]
+    holders = collections.defaultdict(set)
+    for h, _, d, *_ in rows:
+        holders[h].add(-d)
+    want = sorted((h, -d, p) for h, _, d, _, _, p in rows if len(holders[h]) >= least and -d != max(holders[h]))
+    assert sorted(gone) == want
+
+
+def test_a_hot_run_is_not_held():
+    names = ["h1", "h2", "doc", "tag", "n_lines", "pos"]
+    rows = lambda h, docs: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([h] * len(docs), [0] * len(docs), docs, [0] * len(docs), [1] * len(docs), [0] * len(docs))], names=names)
+    batches = [rows(1, [7]), *(rows(2, list(range(d, d - 100, -1))) for d in range(100_000, 0, -100))]
+    out = list(linededup._stream_runs(5)(iter(batches)))
+    edge = pyarrow.compute.sum(pa.concat_arrays([o.column("edge").cast(pa.int64()) for o in out])).as_py()
+    assert edge == 6 and sum(o.num_rows for o in out) == 100_001
+
+
 def test_lines_odd_rows(spark, odd):
     got = linededup.apply_bitmaps(odd, linededup.keep_bitmaps(odd)).collect()
     assert len(got) == len(ODD) + 2 and {r["n_lines"] for r in got if r["row"]["doc_id"] == 0} == {1}
