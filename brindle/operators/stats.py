@@ -130,7 +130,20 @@ def tool_stats(signals: DataFrame, index_meta: DataFrame, log: DataFrame, order:
 def mock_indexing(files: DataFrame, content: str = "content") -> DataFrame:
     """The indexing figures that the simulated suite assumes: 15 % of the characters."""
     one = files.agg(_sum(F.length(content)).alias("raw_source_chars"), F.count("*").alias("files"))
-    return one.withColumn("signal_chars", F.floor(F.col("raw_source_chars") * 0.15).cast("bigint")).withColumn("reduction_percent", E.reduction(F.col("raw_source_chars"), F.col("signal_chars")))
+    return one.withColumn("signal_chars", E.half_up(F.col("raw_source_chars") * 0.15)).withColumn("reduction_percent", E.reduction(F.col("raw_source_chars"), F.col("signal_chars")))
+
+
+# How many signals a file the simulated suite assumes.
+MOCK_COUNTS = (
+    ("kind", "function", 3.0), ("kind", "class", 0.8), ("kind", "route", 2.0), ("kind", "import", 4.0), ("kind", "middleware", 0.5),
+    ("language", "typescript", 10.0), ("language", "javascript", 0.0), ("framework", "express", 2.0),
+)
+
+
+def mock_counts(files: DataFrame) -> DataFrame:
+    """(dimension, value, n) of the signals that the simulated suite assumes: multiples of the number of files, rounded."""
+    rows = F.array(*(F.struct(F.lit(d).alias("dimension"), F.lit(v).alias("value"), E.half_up(F.col("files") * F.lit(x)).alias("n")) for d, v, x in MOCK_COUNTS))
+    return files.agg(F.count("*").alias("files")).select(F.inline(rows))
 
 
 def compact_sizes(signals: DataFrame) -> DataFrame:

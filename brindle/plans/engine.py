@@ -16,6 +16,7 @@ from ..functions import exprs as E
 from ..operators import code, lines, merge, retrieval, stats, syntax
 from ..sources import files as S
 from . import evaluate
+from .journal import Journal
 
 
 def as_store_rows(signals: DataFrame, now=None) -> DataFrame:
@@ -45,6 +46,7 @@ class Engine:
         self.signals, self.evidence, self.meta, self.log = store("signals", schema.SIGNAL), store("evidence", schema.EVIDENCE), store("file_meta", schema.FILE_META), store("search_log", schema.SEARCH_LOG)
         self.index_meta = store("index_meta", schema.INDEX_META)
         self.index = retrieval.IndexStore(spark, f"{root}/index")
+        self.journal = Journal(spark, f"{root}/journal")
 
     def _keep_evidence(self, rows: DataFrame) -> None:
         """Evidence whose id isn't there yet: a batch that runs again adds nothing."""
@@ -102,7 +104,9 @@ class Engine:
         size = listed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
         totals = stats.storage(self.signals.read(), size).first()
         self.index_meta.write(self.spark.range(1).select(now.alias("last_indexed_at"), F.lit(self.meta.read().count()).alias("total_files"), F.lit(totals["count"]).cast("bigint").alias("total_signals"), F.lit(size).cast("bigint").alias("raw_source_chars"), F.lit(totals["signal_chars"]).cast("bigint").alias("signal_chars"), F.lit("1").alias("version")))
-        return counters | {"signals": totals["count"], "signal_chars": totals["signal_chars"], "reduction_percent": totals["reduction_percent"], "duration_ms": int(1000 * (time.time() - began))}
+        took = int(1000 * (time.time() - began))
+        self.journal.indexing(took, counters["scanned"], totals["count"], size, totals["signal_chars"], totals["reduction_percent"])
+        return counters | {"signals": totals["count"], "signal_chars": totals["signal_chars"], "reduction_percent": totals["reduction_percent"], "duration_ms": took}
 
     def warm(self, tree: str, rules: schema.ScanRules = schema.ScanRules()) -> dict:
         """What a start does: index a tree that nothing is known of; else say what has drifted, without indexing.
@@ -133,9 +137,11 @@ class Engine:
 
     def search(self, query: str, limit: int = 8, **filters) -> DataFrame:
         """The best signals by the kept index.  They are at most `limit`, so they come to the driver once, for the log and the answer."""
+        began = time.time()
         asked = self.spark.createDataFrame([("q", query)], "qid string, query string")
         found = retrieval.hybrid_search(self.signals.read(), asked, schema.Search(limit=limit), index=self.index.read(), **filters).orderBy("rank")
         rows = found.collect()
+        self.journal.query(query, "signals", sum(len(r["text"]) for r in rows), len(rows), duration_ms=int(1000 * (time.time() - began)))
         self.log.append(self.spark.range(1).select(F.lit(query).alias("query"), F.lit(len(rows)).alias("results_count"), F.current_timestamp().alias("ts")))
         if self.log.read().count() > 1000:
             self.log.write(stats.trimmed(self.log.read(), "ts", "query").select(*self.log.read().columns))
@@ -160,4 +166,5 @@ class Engine:
 
     def clear(self) -> dict:
         self.index.clear()
+        self.journal.clear()
         return {name: getattr(self, name).clear() for name in ("signals", "evidence", "meta", "log", "index_meta")}

@@ -440,11 +440,21 @@ def _(spark, sf):
     return stats.tool_stats(sig(spark, sf), meta, log(spark, sf), "ts", "event_id")
 
 
-@query("mock_indexing", "SELECT CAST(sum(length(text)) AS BIGINT) AS raw_source_chars, count(*) AS files, CAST(floor(sum(length(text)) * 0.15::DOUBLE) AS BIGINT) AS signal_chars, CAST(floor((sum(length(text)) - floor(sum(length(text)) * 0.15::DOUBLE)) / sum(length(text)) * 100 + 0.5) AS BIGINT) AS reduction_percent FROM documents")
+@query("mock_indexing", "SELECT CAST(sum(length(text)) AS BIGINT) AS raw_source_chars, count(*) AS files, CAST(floor(sum(length(text)) * 0.15::DOUBLE + 0.5) AS BIGINT) AS signal_chars, CAST(floor((sum(length(text)) - floor(sum(length(text)) * 0.15::DOUBLE + 0.5)) / sum(length(text)) * 100 + 0.5) AS BIGINT) AS reduction_percent FROM documents")
 def _(spark, sf):
     return stats.mock_indexing(t(spark, sf, "documents"), "text")
 
 
+@query(
+    "mock_counts",
+    """WITH f AS (SELECT count(*) AS files FROM documents)
+SELECT dimension, value, CAST(floor(files * x + 0.5) AS BIGINT) AS n FROM f, (VALUES ('kind', 'function', 3.0::DOUBLE), ('kind', 'class', 0.8), ('kind', 'route', 2.0),
+  ('kind', 'import', 4.0), ('kind', 'middleware', 0.5), ('language', 'typescript', 10.0), ('language', 'javascript', 0.0), ('framework', 'express', 2.0)) AS m(dimension, value, x)""",
+)
+def _(spark, sf):
+    return stats.mock_counts(t(spark, sf, "documents"))
+
+
 @query("compact_size", """SELECT CAST(sum(length(text)) AS BIGINT) AS text_chars, CAST(sum(length(kind) + length(name) + length(file) + length(text) + length('{"kind":"","name":"","file":"","text":""}')) AS BIGINT) AS json_chars, CAST(sum(length(kind) + 1 + length(name)) + count(*) - 1 AS BIGINT) AS compact_chars FROM sig""")
 def _(spark, sf):
     return stats.compact_sizes(sig(spark, sf))

@@ -13,6 +13,7 @@ TOOL_OUTPUT = "id string, session_id string, tool string, input string, output s
 FILE_META = "path string, mtime timestamp, hash string, indexed_at timestamp"
 INDEX_META = "last_indexed_at timestamp, total_files bigint, total_signals bigint, raw_source_chars bigint, signal_chars bigint, version string"
 SEARCH_LOG = "query string, results_count int, ts timestamp"
+JOURNAL = "ts timestamp, level string, mode string, action string, query string, tool string, chars bigint, results int, read_after boolean, duration_ms bigint, details map<string,string>"
 FIXTURE_SIGNAL = "kind string, name string, file string, line int, text string"
 GROUND_TRUTH = (
     "fixture string, version string, totalFiles int, totalSourceChars bigint, queries array<struct<id:string,query:string,category:string,"

@@ -12,6 +12,7 @@ from brindle.functions import exprs as E
 from brindle.operators import code, lines, merge, retrieval, stats, syntax
 from brindle.plans import evaluate
 from brindle.plans.engine import Engine
+from brindle.plans.journal import Journal
 from brindle.schema import Search
 from brindle.sources import files as S
 
@@ -305,6 +306,21 @@ def test_search_log_keeps_the_last_searches(spark, tmp_path):
     assert engine.log.read().count() == 500 and engine.log.read().filter("query = 'anything'").count() == 1
 
 
+def test_journal_keeps_levels_and_averages_by_mode(spark, tmp_path):
+    journal = Journal(spark, str(tmp_path / "j"), most=3)
+    assert journal.metrics().first()["total_queries"] == 0
+    journal.log("debug", "left out")
+    journal.log("warn", "slow", file="a.ts")
+    journal.query("x", "signals", 100, 2)
+    journal.query("x", "baseline", 4100, 1)  # the third entry that counts: all are written
+    assert journal.store.read().count() == 3 and journal.entries("warn").first()["details"] == {"file": "a.ts"}
+    one = journal.metrics().first()
+    assert (one["total_queries"], one["avg_signal_chars"], one["avg_baseline_chars"], one["reduction_percent"], one["break_even"]) == (2, 100, 4100, 98, 3)
+    with pytest.raises(ValueError):
+        journal.log("loud", "no such level")
+    assert journal.clear() == 3 and journal.entries().count() == 0
+
+
 def test_index_and_vectors_follow_their_documents(spark, tmp_path):
     store = retrieval.IndexStore(spark, str(tmp_path / "i"))
     docs = spark.createDataFrame([("1", "red bolt", "a"), ("2", "red ring", "b"), ("3", "blue ring", "c")], "id string, text string, name string")
