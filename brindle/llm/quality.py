@@ -6,8 +6,8 @@ of the two classes' counts, and a linear model with hinge loss is fit to the sca
 by dual coordinate descent.  The margin is turned into a score by a logistic curve fitted on rows that the
 model has not seen.
 
-The model is fit on at most `sample` labelled rows (those with the smallest hashes of their doc_id); scoring
-covers all rows.  Model and sample are bounded by parameters, so they may be collected and broadcast.
+The model is fit on at most `sample` labelled rows (those with the smallest hashes of their doc_id) with at most
+`most_features` features in sum (of longer texts there are fewer rows then); scoring covers all rows.  Model and sample are bounded by parameters, so they may be collected and broadcast.
 
 Null or empty text has no features and gets the score of the model's intercept.  Labels other than 0 and 1
 and labels without a document are ignored; of several labels for one doc_id the smallest holds.  Without both
@@ -25,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import checkpointed
 from .textbytes import chunks, column_buffer, gram_hashes, mix64, word_hashes, word_spans
 
 BITS = 18
 #: The largest number of labelled rows the model is fit on.
 SAMPLE = 6000
+#: The largest number of features, over all rows it is fit on, of 4 bytes each.
+SAMPLE_FEATURES = 1 << 25
 
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[97:123] = 97
@@ -163,8 +166,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS) -> Model:
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, bits: int = BITS) -> Model:
-    """Fit on at most `sample` of the labelled rows whose crc32(key) mod 5 is not 0; the sample is bounded, so it may be collected."""
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, bits: int = BITS, most_features: int = SAMPLE_FEATURES) -> Model:
+    """Fit on at most `sample` of the labelled rows whose crc32(key) mod 5 is not 0, and `most_features`: so bounded, they may be collected."""
     marked = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (F.crc32(F.col(key).cast("string").cast("binary")) % 5 != 0))
     marked = marked.groupBy(F.col(key).alias("_id")).agg(F.min(label).alias("_label"))
     chosen = marked.orderBy(F.xxhash64("_id"), "_id").limit(sample)
@@ -181,7 +184,13 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     kind = docs.schema[key].dataType.simpleString()
     found = texts.select("_id", F.col("_label").cast("int"), "_text").mapInArrow(run, f"_id {kind}, _label int, ids binary")
     # One row for each doc_id, whatever rows repeat it: so the sample's bound holds.
-    rows = found.groupBy("_id", "_label").agg(F.min("ids").alias("ids")).toArrow().sort_by("_id")
+    rows = checkpointed(found.groupBy("_id", "_label").agg(F.min("ids").alias("ids")))
+    sizes = sorted(rows.select(F.xxhash64("_id"), "_id", F.length("ids")).collect())
+    within = int(np.searchsorted(np.cumsum([n // 4 for *_, n in sizes]), most_features, "right"))
+    if within < len(sizes):
+        digest, first, _ = sizes[within]
+        rows = rows.filter((F.xxhash64("_id") < digest) | (F.xxhash64("_id") == digest) & (F.col("_id") < first))
+    rows = rows.toArrow().sort_by("_id")
     return fit([np.frombuffer(x.as_buffer(), "<i4") for x in rows.column("ids")], rows.column("_label").to_numpy().astype(np.int64), bits)
 
 

@@ -639,6 +639,17 @@ def test_quality_odd_rows(spark, odd):
     assert {r["score"] for r in quality.score(odd, lone, ["doc_id"]).collect()} == {0.5}
 
 
+def test_quality_is_fit_within_the_features_that_are_allowed(spark, monkeypatch):
+    docs = documents(spark, [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    fitted = []
+    monkeypatch.setattr(quality, "fit", lambda rows, labels, bits: fitted.append([len(r) for r in rows]))
+    quality.learn(docs, labels)
+    quality.learn(docs, labels, most_features=1000)
+    whole, some = fitted
+    assert sum(whole) > 4000 and 1000 - max(whole) < sum(some) <= 1000 and len(whole) > len(some)
+
+
 def test_ratio_and_margins_equal_plain_python():
     """Counts, ratios, the solver's optimum (no duality gap) and margins, computed by dictionaries."""
     rng = np.random.default_rng(1)
